@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftql.llm import mixing, quality, sharding
+from weftql.llm import jaccard, mixing, quality, sharding
 from weftql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,15 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op9_shards": op9_shards,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
