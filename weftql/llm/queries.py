@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftql.llm import jaccard, mixing, quality, sharding
+from weftql.llm import decontaminate, jaccard, mixing, quality, sharding
 from weftql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,14 +29,43 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
     "op9_shards": op9_shards,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+DECONTAMINATE_SQL = """
+WITH normal AS (
+  SELECT 'i' AS kind, CAST(item_id AS VARCHAR) AS item, 0 AS rid, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark
+  UNION ALL SELECT 'd', CAST(doc_id AS VARCHAR), row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents
+), worded AS (
+  SELECT kind, item, rid, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM normal
+), phrases AS (
+  SELECT DISTINCT item, array_to_string(list_slice(words, i, i + least(len(words), 10) - 1), ' ') AS w, least(len(words), 10) AS n
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM worded WHERE kind = 'i' AND len(words) > 0)
+), sizes AS (SELECT DISTINCT n FROM phrases),
+windows AS (
+  SELECT rid, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS w
+  FROM (SELECT d.rid, d.words, s.n, unnest(range(1, len(d.words) - s.n + 2)) AS i FROM worded d, sizes s WHERE d.kind = 'd')
+), found AS (SELECT w.rid, w.i, w.n, p.item FROM windows w JOIN phrases p USING (w, n)),
+hit AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM found) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT CAST(d.item AS BIGINT) AS doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM worded d LEFT JOIN hit h USING (rid) LEFT JOIN items i USING (rid) WHERE d.kind = 'd'
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.mixing_oracle(),
     "op6_quality_rules": quality.quality_oracle(),
+    "op7_decontaminate": DECONTAMINATE_SQL,
 }
