@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftql.llm import decontaminate, jaccard, mixing, quality, sharding
+from weftql.llm import chat, decontaminate, jaccard, mixing, quality, sharding
 from weftql.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
 
@@ -37,6 +41,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_chat_format": op2_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
     "op9_shards": op9_shards,
@@ -66,6 +71,7 @@ FROM worded d LEFT JOIN hit h USING (rid) LEFT JOIN items i USING (rid) WHERE d.
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.mixing_oracle(),
+    "op2_chat_format": chat.CHAT_SQL,
     "op6_quality_rules": quality.quality_oracle(),
     "op7_decontaminate": DECONTAMINATE_SQL,
 }
