@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,48 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return down.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+#: Edges that a task reduces to a forest at a time.
+FOREST_EDGES = 1_000_000
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer edges that connect the same nodes: a star for each component among a bounded number of edges of a partition."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, find(x)) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+    held, schema = 0, None
+    for batch in batches:
+        schema = schema or batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        held += batch.num_rows
+        if held >= FOREST_EDGES:
+            yield stars()
+            root.clear()
+            held = 0
+    if schema:
+        yield stars()
+
+
 def connected_components(edges: DataFrame, label: str, max_rounds: int = 50) -> DataFrame:
     """node, root (the least node of its component) for every node of edges(a, b) with a <> b. No node or edge goes to the driver."""
     def marks(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).collect()[0])
 
-    now = materialize(edges.select("a", "b").where("a <> b").distinct(), label)
+    kind = edges.schema["a"].dataType.simpleString()
+    now = materialize(edges.select("a", "b").where("a <> b").mapInArrow(forest, f"a {kind}, b {kind}").distinct(), label)
     mark = marks(now)
     for _ in range(max_rounds):
         now = materialize(_star(_star(now, True), False), label)

@@ -1,10 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
 1. Every text becomes a set of hashed word shingles. Texts of equal sets form a class; classes are compared, not copies.
-2. A global n-gram order, rare first, comes from a fixed-size count sketch over the whole table. At similarity t, two sets
-   that link share an n-gram among the first n - ceil(t n) + 1 of each. Such n-grams tie classes into families: stars of
-   (class, least class with this n-gram), whose components are found without listing pairs.
-3. Families are cut into blocks of bounded size. Where two blocks of a family meet, the global order is cut into fragments;
+2. The global n-gram order (by hash) is cut into fragments, one more than two linked sets can differ in n-grams. So linked
+   sets agree on a whole fragment. How many fragments that takes depends on size; sizes fall into ranges so wide that links
+   stay within neighbouring ranges, and a set is cut for both pairs of ranges it belongs to. Classes that agree on a fragment
+   form stars around the least of them, and the stars' components are families. No pair is listed.
+3. Families are cut into blocks of bounded size. Where two blocks of a family meet, the order is cut into fragments again;
    overlaps are counted separately for each fragment, summed for each pair of classes, and compared with the exact bound.
 4. The links are exact; their components and numbers are the result. No pair of classes leaves its block's task.
 """
@@ -22,11 +23,10 @@ from weftql.llm.common import materialize
 from weftql.llm.components import connected_components
 from weftql.llm.textscan import mixed, octets, shingle_sets
 
-#: Cells of the sketch that orders n-grams (a power of two): its size, 4 bytes each, is all that is broadcast.
-CELLS = 1 << 20
-PARTS = 16
 #: Classes and n-grams of a block; columns of a fragment.
 BLOCK_ROWS, BLOCK_GRAMS, FRAGMENT = 1024, 4_000_000, 4096
+#: Classes in families, 56 bytes each, up to which they are broadcast to the texts.
+BROADCAST_ROWS = 300_000
 NO_ID = -(1 << 63)
 
 
@@ -39,80 +39,61 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     return shingle_sets(octets(batch.column("text")), k)
 
 
-def _profile(k: int):
-    """Rows (id, n, k1, k2) for texts, then the sketch of a task in PARTS rows (part, cells)."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
+def size_ranges(n: int, percent: int) -> tuple[int, int]:
+    """(least size of the range n is in, number of the range). Sizes that may link are in the same or in neighbouring ranges."""
+    low, i = 1, 0
+    while (after := low * 100 // percent + 1) <= n:
+        low, i = after, i + 1
+    return low, i
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, size = np.zeros(CELLS, np.int64), [], 0
-        for batch in batches:
-            rows = []
-            for s in _sets(batch, k):
-                rows.append((len(s), *set_key(s)))
-                held.append(s)
-                size += len(s)
-                if size > CELLS:
-                    cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    held, size = [], 0
-            n, k1, k2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
-        if held:
-            cells += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        if cells.any():
-            packed = [x.astype(np.uint32).tobytes() for x in np.split(np.minimum(cells, 0xFFFFFFFF), PARTS)]
-            none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
-
-    return run, "id long, n long, k1 long, k2 long, part int, cells binary"
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            x = np.frombuffer(cells, np.uint32).astype(np.int64)
-            sums[part] = sums[part] + x if part in sums else x
-    if sums:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "cells": pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())})
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """All tasks' sketches added up, in two rounds; the driver gets CELLS counts, however large the table."""
-    parts = profile.where("part IS NOT NULL").select("part", "cells")
-    first = parts.repartition("part", F.pmod(F.xxhash64("cells"), F.lit(32))).mapInArrow(_add_up, "part int, cells binary")
-    out = np.zeros(CELLS, np.uint32)
-    for r in first.repartition("part").mapInArrow(_add_up, "part int, cells binary").collect():
-        out[r["part"] * (CELLS // PARTS) : (r["part"] + 1) * (CELLS // PARTS)] = np.frombuffer(r["cells"], np.uint32)
-    return out
-
-
-def in_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """grams, sorted, in the global order: by estimated frequency, then hash."""
-    return grams[np.argsort(sketch[(grams & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")]
-
-
-def _prefixes(k: int, sketch, percent: int):
-    schema = pa.schema([("gram", pa.int64()), ("k1", pa.int64())])
+
+def fragments_for(low: int, percent: int) -> int:
+    """Fragments for sets of sizes up to the top of the range that begins at low: one more than linked ones can differ in."""
+    top = low * 100 // percent
+    return 2 * top * (100 - percent) // (100 + percent) + 1
+
+
+def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the set's fragments, for its own range with the one below and for the next range with its own."""
+    low, number = size_ranges(len(grams), percent)
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(mixed(grams, 13), out=sums[1:])
+    out = []
+    for begin, i in ((low, number), (low * 100 // percent + 1, number + 1)):
+        parts = fragments_for(begin, percent)
+        bounds = np.searchsorted(((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
+        out.append(mixed(sums[bounds[1:]] - sums[bounds[:-1]], 17) + mixed((np.arange(parts) + (i << 32)).astype(np.uint64), 19))
+    return mixed(np.concatenate(out))
+
+
+def _profile(k: int, percent: int):
+    """A row (id, n, k1, k2) for each text, and rows (k1, signature) for the sets a task hasn't seen before."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signature", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            grams, keys = [], []
+            rows, keys, signs = [], [], []
             for s in _sets(batch, k):
-                if len(s) and (key := set_key(s)[0]) not in seen:
-                    seen.add(key)
-                    p = in_order(s, sketch.value)[: len(s) - -(-percent * len(s) // 100) + 1]
-                    grams.append(p)
-                    keys.append(np.full(len(p), key, np.int64))
+                key = set_key(s)
+                rows.append((len(s), *key))
+                if len(s) and key[0] not in seen:
+                    seen.add(key[0])
+                    signs.append(signatures(s, percent))
+                    keys.append(np.full(len(signs[-1]), key[0], np.int64))
             if len(seen) > 1_000_000:  # copies that come later are only repeated
                 seen.clear()
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(keys))], schema=schema)
+            none = pa.nulls(len(rows), pa.int64())
+            n, k1, k2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n, k1, k2, none], schema=schema)
+            if keys:
+                none = pa.nulls(sum(map(len, keys)), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.concatenate(keys)), none, pa.array(np.concatenate(signs).view(np.int64))], schema=schema)
 
-    return run, "gram long, k1 long"
+    return run, "id long, n long, k1 long, k2 long, signature long"
 
 
-def _members(k: int, sketch):
+def _members(k: int):
     """A row for each block pair that a class takes part in."""
     schema = pa.schema([("family", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
 
@@ -122,29 +103,28 @@ def _members(k: int, sketch):
             for r, s in zip(rows, _sets(batch, k), strict=True):
                 if set_key(s) != (r["k1"], r["k2"]):  # another text under the same id
                     continue
-                packed, own = in_order(s, sketch.value).tobytes(), r["block"]
+                packed, own = s.tobytes(), r["block"]
                 pairs = [(min(own, x), max(own, x)) for x in range(r["blocks"])]
                 yield pa.RecordBatch.from_pylist([{"family": r["family"], "low": a, "high": b, "side": int(own == b and a != b), "k1": r["k1"], "k2": r["k2"], "copies": r["copies"], "grams": packed} for a, b in pairs], schema=schema)
 
     return run, "family long, low int, high int, side int, k1 long, k2 long, copies long, grams binary"
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], sketch: np.ndarray) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each left with each right set, as the sum of separate counts for the fragments of the global order."""
     grams = np.concatenate([*left, *right]) if left or right else np.empty(0, np.uint64)
     distinct, places, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = in_order(distinct[counts > 1], sketch)
-    at = np.full(len(distinct), -1, np.int64)
-    at[np.searchsorted(distinct, shared)] = np.arange(len(shared))
+    at = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)
+    shared = int((counts > 1).sum())
     column, row = at[places], np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
     keep = column >= 0
     column, row = column[keep], row[keep]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     total = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, len(shared), FRAGMENT):
+    for first in range(0, shared, FRAGMENT):
         a, b = np.searchsorted(column, (first, first + FRAGMENT))
-        segments = np.zeros((len(left) + len(right), min(FRAGMENT, len(shared) - first)), np.float32)
+        segments = np.zeros((len(left) + len(right), min(FRAGMENT, shared - first)), np.float32)
         segments[row[a:b], column[a:b] - first] = 1
         total += segments[: len(left)] @ segments[len(left) :].T
     return total.astype(np.int64)
@@ -161,7 +141,7 @@ def least_labels(linked: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def _verify(sketch, percent: int):
+def _verify(percent: int):
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("links", pa.int64())])
 
     def block(rows: list[tuple], two_sided: bool) -> Iterator[tuple[str, str, int]]:
@@ -173,7 +153,7 @@ def _verify(sketch, percent: int):
         sizes, copies = np.array([len(s) for s in sets]), np.array([r[3] for r in rows])
         cut = sum(r[0] == 0 for r in rows)
         left, right = (slice(0, cut), slice(cut, len(rows))) if two_sided else (slice(0, len(rows)),) * 2
-        both = overlaps(sets[left], sets[right], sketch.value)
+        both = overlaps(sets[left], sets[right])
         union = sizes[left, None] + sizes[None, right] - both
         near = 100 * both >= percent * union
         linked = np.zeros((len(rows), len(rows)), bool)
@@ -212,25 +192,25 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     Null or wordless text: no shingles, no links, its own id. A null doc_id takes part like others, but is never the least
     id of a component that has another. Repeated rows link to each other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    profile = materialize(ids.mapInArrow(*_profile(k)), "jaccard-profile")
-    sketch = spark.sparkContext.broadcast(_sketch(profile))
-    sets = profile.where("part IS NULL").select("id", "n", "k1", "k2")
+    profile = materialize(ids.mapInArrow(*_profile(k, percent)), "jaccard-profile")
+    sets = profile.where("signature IS NULL").select("id", "n", "k1", "k2")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
 
-    prefixes = materialize(ids.mapInArrow(*_prefixes(k, sketch, percent)), "jaccard-prefixes")
-    shared = prefixes.groupBy("gram").agg(F.min("k1").alias("b"), F.max("k1").alias("top")).where("b <> top").select("gram", "b")
-    stars = prefixes.join(shared, "gram").select(F.col("k1").alias("a"), "b").where("a <> b").distinct()
+    signed = profile.where("signature IS NOT NULL").select("signature", "k1")
+    shared = signed.groupBy("signature").agg(F.min("k1").alias("b"), F.max("k1").alias("top")).where("b <> top").select("signature", "b")
+    stars = signed.join(shared, "signature").select(F.col("k1").alias("a"), "b").where("a <> b")
     families = connected_components(stars, "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
 
     members = materialize(classes.join(families, "k1"), "jaccard-members")
     cut = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.select("id", "family", "k1", "k2", "copies", "block", "blocks")
-    rows = ids.join(placed, "id").mapInArrow(*_members(k, sketch))
+    if placed.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)  # beyond that, both sides are shuffled by id
+    rows = ids.join(placed, "id").mapInArrow(*_members(k))
     rows = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
-    links = materialize(rows.mapInArrow(*_verify(sketch, percent)), "jaccard-links")
+    links = materialize(rows.mapInArrow(*_verify(percent)), "jaccard-links")
     roots = connected_components(links.select("a", "b"), "jaccard-components")
     key = F.concat(F.lpad(F.lower(F.hex("k1")), 16, "0"), F.lpad(F.lower(F.hex("k2")), 16, "0"))
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
