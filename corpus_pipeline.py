@@ -1,8 +1,79 @@
-"""A corpus pipeline over the training-data operators."""
+"""A corpus pipeline over the training-data operators: five stages, each written and read again as the next one's documents.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. They work
+on whatever the stage before kept.
+
+- quality: documents that the quality rules reject go.
+- near_duplicates: of each component of near duplicates the document with the least id stays (of repeated rows of it, one).
+  Documents without words link to nothing and stay.
+- decontaminate: documents in which a benchmark passage occurs go.
+- mix: the mix to target weights; a document is there once for each copy that the mix takes of it.
+- shard: every row gets a shard and its slot there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftql.llm import decontaminate, jaccard, mixing, quality, sharding
+from weftql.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PARTS_OF_ROW = ("doc_id", "text", "lang", "source")
+
+
+def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id, null included, is in verdicts(doc_id)."""
+    ids = verdicts.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    row = F.xxhash64(*PARTS_OF_ROW)
+    judged = quality.judge_quality(docs.withColumn("__row", row), table(spark, sf_dir, "labels"), keep=("doc_id", "lang", "__row"))
+    kept = judged.where("kept").select("__row").distinct()
+    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # five words and a similarity of 0.8, as near-duplicate stages take
+    joined = jaccard.jaccard_join(docs, k=5, percent=80)
+    stays = joined.where("n_shingles = 0 OR doc_id = component_id OR component_id IS NULL")
+    return _chosen(docs, stays).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns[:0]) + tuple(c for c in docs.columns if c != "text") + ("text",))
+    return hits.where("NOT contaminated").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix_sources(docs, whole=True).where("copies > 0").select("doc_id", "source", "size", "copies")
+    taken = taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
+    copied = docs.alias("d").join(taken.alias("t"), on).select("d.*", F.explode(F.expr("sequence(1, t.copies)")).alias("__copy"))
+    return copied.select(*docs.columns)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(docs, 16, keep=tuple(c for c in COLUMNS if c != "doc_id"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontaminate", decontamination_stage),
+    ("mix", mixing_stage),
+    ("shard", sharding_stage),
+]
+
+#: The near-duplicate stage's components aren't expressible as one SQL query at these sizes; tests compare every stage with Python.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

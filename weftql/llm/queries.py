@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftql.llm import chat, decontaminate, jaccard, mixing, quality, sharding, suffixes, tokens, toxicity
-from weftql.llm.common import table
+from weftql.llm import chat, decontaminate, fixity, jaccard, mixing, quality, sharding, suffixes, tokens, toxicity
+from weftql.llm.common import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.learnt_from(F.col("doc_id"))).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op5_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archive against a replica in which every record of a 97th of the ids has a byte changed or its end cut off."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    part, kind = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(97)) == 5, F.when(F.pmod("page_id", F.lit(2)) == 0, "flip").otherwise("cut")
+    both = fixity.damaged(records.withColumn("original", F.col("record")), part, kind).withColumnsRenamed({"record": "replica", "original": "record"})
+    both = both.select("file", "slot", "offset", "page_id", F.sha2("record", 256).alias("digest"), F.length("record").alias("length"), F.sha2("replica", 256).alias("replica_digest"), F.length("replica").alias("replica_length"))
+    both = materialize(both, "fixity-records")
+    left, right = (both.select(F.col("file").cast("long").alias("file"), "slot", "offset", F.col(n).cast("long").alias("length"), F.col(d).alias("digest")) for n, d in (("length", "digest"), ("replica_length", "replica_digest")))
+    return fixity.audit(left, right).join(both.select("file", "slot", "page_id"), ["file", "slot"], "left").select("page_id", "fault")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("lang")
 
@@ -60,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_fixity_audit": op5_fixity_audit,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -91,6 +103,7 @@ FROM worded d LEFT JOIN hit h USING (rid) LEFT JOIN items i USING (rid) WHERE d.
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.mixing_oracle(),
     "op2_chat_format": chat.CHAT_SQL,
+    "op5_fixity_audit": "SELECT page_id, 'changed' AS fault FROM pages WHERE page_id % 97 = 5",
     "op6_quality_rules": quality.quality_oracle(),
     "op7_decontaminate": DECONTAMINATE_SQL,
 }
