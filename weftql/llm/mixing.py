@@ -51,7 +51,7 @@ def time_sql(schedules: list[Schedule], share: str) -> str:
 
 
 #: Water-filling over sources(source, source_size): sorted by the level at which a source is full, the level that spends
-#: what the full ones leave. The level is the one of the first source that isn't full at it.
+#: what the full ones before leave. The first source, in this order, that isn't full at its level gives the level.
 LEVELS_SQL = """
 WITH ranked AS (
   SELECT source, source_size, CAST((row_number() OVER (ORDER BY CASE WHEN source IS NULL THEN 1 ELSE 0 END, source) - 1) % {n} AS INT) AS schedule
@@ -62,10 +62,11 @@ WITH ranked AS (
   FROM ranked
 ), filled AS (
   SELECT *, (demand - coalesce(sum(most) OVER (ORDER BY most / weight, weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY most / weight, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    / sum(weight) OVER (ORDER BY most / weight, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY most / weight, weight, source NULLS LAST) AS place
   FROM weighed
 ), settled AS (
-  SELECT *, (SELECT min(level) FROM filled WHERE level * weight <= most * (1 + 1e-12)) AS settled_level FROM filled
+  SELECT *, (SELECT min_by(level, place) FROM filled WHERE level * weight <= most * (1 + 1e-12)) AS settled_level FROM filled
 )
 SELECT source, CAST(source_size AS BIGINT) AS source_size, schedule, least(most, coalesce(settled_level * weight, most)) AS target FROM settled
 """
