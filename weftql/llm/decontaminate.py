@@ -69,7 +69,8 @@ class FMIndex:
         """Rows [low, high) of each phrase; phrases are rows of symbols, filled up on the right."""
         phrases = phrases + 1
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
-        known = (phrases < len(self.before) - 1).all(axis=1)
+        filled = np.arange(phrases.shape[1]) >= lengths[:, None]
+        known = ((phrases < len(self.before) - 1) | filled).all(axis=1)
         high[~known] = 0
         for step in range(phrases.shape[1]):
             live = np.flatnonzero((low < high) & (step < lengths))
