@@ -31,7 +31,9 @@ from weftql.llm.textscan import mixed, octets, prefix_hash
 
 #: Bytes of an anchor string, so that a window of 50 holds 26 of them.
 ANCHOR = 25
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 2 << 20
+#: Bytes whose window hashes are worked out at once.
+PART = 1 << 19
 LAST_ID = (1 << 63) - 1
 
 
@@ -201,8 +203,7 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
     fresh = np.ones(m, bool)
     same = np.zeros(m, bool)  # shares `length` bytes with the suffix before
     for size in range(1, int(sizes.max(initial=0)) + 1):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1) :]
+        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]
         new = fresh[order]
         came = order[new]
         total = m + len(order)
@@ -234,8 +235,35 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
     return place[whole], np.cumsum(~same[whole]) - 1
 
 
+def repeated_pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which strings have a window whose hash occurs twice: only these can share a window, with others or within."""
+    hashes, owners, first = [], [], 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + PART)))
+        base, end = int(starts[first]), int(starts[last - 1] + sizes[last - 1])
+        p, inv = prefix_hash(data[base:end])
+        counts = np.maximum(sizes[first:last] - length + 1, 0)
+        owner = np.repeat(np.arange(first, last), counts)
+        at = np.repeat(starts[first:last] - base - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        hashes.append((p[at + length] - p[at]) * inv[at])
+        owners.append(owner.astype(np.int32))
+        first = last
+    out = np.zeros(len(starts), bool)
+    if hashes:
+        h, owner = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(h)
+        h = h[order]
+        twice = np.zeros(len(h) + 1, bool)
+        twice[1:-1] = h[1:] == h[:-1]
+        out[owner[order[twice[1:] | twice[:-1]]]] = True
+    return out
+
+
 def _judge(length: int):
-    """For a bucket: rows (block, verdicts): the least id that has each window of each piece, by runs of windows."""
+    """For a bucket: rows (block, verdicts): the least id that has each window of each piece, by runs of windows.
+
+    A piece that no other block has and none of whose windows recurs gets no verdict: its block knows the least id itself.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
@@ -259,14 +287,20 @@ def _judge(length: int):
         data = np.frombuffer(b"".join(distinct), np.uint8)
         sizes = np.array([len(x) for x in distinct], np.int64)
         starts, ids = np.cumsum(sizes) - sizes, np.array(least, np.int64)
-        place, group = equal_windows(data, starts, sizes, length)
+        again = np.flatnonzero(repeated_pieces(data, starts, sizes, length))
+        times = np.bincount(np.concatenate([np.array(u, np.int64) for u in uses]), minlength=len(sizes))
+        alone = np.setdiff1d(np.flatnonzero(times > 1), again)
+        place, group = equal_windows(data, starts[again], sizes[again], length)
         piece = np.searchsorted(starts, place, side="right") - 1
         first = np.full(int(group.max(initial=-1)) + 1, LAST_ID, np.int64)
         np.minimum.at(first, group, ids[piece])
         order = np.argsort(place)
         place, piece, low = place[order], piece[order], first[group[order]]
         change = np.concatenate([[True], (piece[1:] != piece[:-1]) | (low[1:] != low[:-1])]) if len(place) else np.empty(0, bool)
-        run_piece, run_at, run_low = piece[change], (place - starts[piece])[change].astype(np.int16), low[change]
+        run_piece = np.concatenate([piece[change], alone])
+        order = np.argsort(run_piece, kind="stable")
+        run_at = np.concatenate([(place - starts[piece])[change], np.zeros(len(alone), np.int64)]).astype(np.int16)[order]
+        run_piece, run_low = run_piece[order], np.concatenate([low[change], ids[alone]])[order]
         bounds = np.searchsorted(run_piece, np.arange(len(sizes) + 1))
         out = []
         for block, (numbers, *_), own in zip(blocks, parts, uses, strict=True):
@@ -295,15 +329,20 @@ def _remove(length: int):
         removed = [np.zeros(len(t) + 1, np.int32) for t in texts]
         shared = [x for x in answers.column("hashes").to_pylist() if x is not None]
         verdicts = [x for x in answers.column("verdicts").to_pylist() if x is not None]
-        if texts and verdicts:
+        if texts and shared:
             hashes = np.unique(np.concatenate([_unpack_sorted(x) for x in shared]))
             pieces, uses = _distinct_pieces(ids, texts, hashes, length)
             windows = np.array([len(k[1]) - length + 1 for k in pieces], np.int64)
-            number, at, low = (np.concatenate(x) for x in zip(*map(_unpack_verdicts, verdicts), strict=True))
+            parts = [_unpack_verdicts(x) for x in verdicts]
+            told = np.unique(np.concatenate([np.empty(0, np.int32), *(x[0] for x in parts)]))
+            quiet = np.setdiff1d(np.arange(len(pieces)), told)
+            own_least = np.array([x[1] for x in pieces.values()], np.int64)
+            parts.append((quiet.astype(np.int32), np.zeros(len(quiet), np.int16), own_least[quiet]))
+            number, at, low = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((at, number))
             number, at, low = number[order], at[order].astype(np.int64), low[order]
             bounds = np.searchsorted(number, np.arange(len(windows) + 1))
-            text, begin, piece = (np.array(x, np.int64) for x in zip(*uses, strict=True))
+            text, begin, piece = np.array(uses, np.int64).reshape(-1, 3).T
             counts = bounds[piece + 1] - bounds[piece]
             run_no = np.repeat(bounds[piece] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             use = np.repeat(np.arange(len(piece)), counts)
