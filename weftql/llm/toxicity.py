@@ -213,15 +213,24 @@ def fit_logistic(strengths: dict[tuple[int, int], int]) -> tuple[float, float]:
     """Slope and offset by Newton's method with a little shrinkage, over counts of (bin, toxic)."""
     x, y, n = (np.array(v, float) for v in zip(*((b * BIN, t, c) for (b, t), c in strengths.items()), strict=True)) if strengths else (np.zeros(1),) * 3
     x = np.minimum(x, 20.0)
-    a, b = 0.5, -2.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    at = np.array([0.5, -2.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * x + at[1]
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 0.05 * at[0] ** 2 + 0.005 * at[1] ** 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
         w = n * p * (1 - p)
-        g = np.array([(n * (y - p) * x).sum() - 0.1 * a, (n * (y - p)).sum() - 0.01 * b])
+        g = np.array([(n * (y - p) * x).sum() - 0.1 * at[0], (n * (y - p)).sum() - 0.01 * at[1]])
         h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a + step[0], b + step[1]
-    return max(float(a), 0.0), float(b)
+        step, now = np.linalg.solve(h, g), loss(at)
+        while loss(at + step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() < 1e-9:
+            break
+        at = at + step
+    return max(float(at[0]), 0.0), float(at[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
