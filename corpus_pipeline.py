@@ -23,10 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PARTS_OF_ROW = ("doc_id", "text", "lang", "source")
 
 
-def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id, null included, is in verdicts(doc_id)."""
-    ids = verdicts.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +38,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # five words and a similarity of 0.8, as near-duplicate stages take
     joined = jaccard.jaccard_join(docs, k=5, percent=80)
     stays = joined.where("n_shingles = 0 OR doc_id = component_id OR component_id IS NULL")
-    return _chosen(docs, stays).dropDuplicates(["doc_id", "text"])
+    ids = stays.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
+    # the join's partitions hold all rows of an id, so repeated rows meet without another exchange
+    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "__id", "left_semi").dropDuplicates(["__id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns[:0]) + tuple(c for c in docs.columns if c != "text") + ("text",))
+    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return hits.where("NOT contaminated").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix_sources(docs, whole=True).where("copies > 0").select("doc_id", "source", "size", "copies")
-    taken = taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    copied = docs.alias("d").join(taken.alias("t"), on).select("d.*", F.explode(F.expr("sequence(1, t.copies)")).alias("__copy"))
-    return copied.select(*docs.columns)
+    taken = mixing.mix_sources(docs, whole=True).where("copies > 0")
+    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.xxhash64("source", F.col("source").isNull()).alias("__source"), "copies").groupBy("__id", "__source").agg(F.max("copies").alias("copies"))
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__source", F.xxhash64("source", F.col("source").isNull()))
+    return keyed.join(taken, ["__id", "__source"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@
 2. The global n-gram order (by hash) is cut into fragments, one more than two linked sets can differ in n-grams. So linked
    sets agree on a whole fragment. How many fragments that takes depends on size; sizes fall into ranges so wide that links
    stay within neighbouring ranges, and a set is cut for both pairs of ranges it belongs to. Classes that agree on a fragment
-   form stars around the least of them, and the stars' components are families. No pair is listed.
+   form stars around the least of them, and the stars' components are families. No pair is listed. Below a similarity of
+   FRAGMENTS_FROM percent, where such fragments hold too few n-grams to tell sets apart, sets that share one of their rarest
+   n - ceil(t n) + 1 n-grams form the stars instead; a sketch of fixed size over all documents orders the n-grams.
 3. Families are cut into blocks of bounded size. Where two blocks of a family meet, the order is cut into fragments again;
    overlaps are counted separately for each fragment, summed for each pair of classes, and compared with the exact bound.
 4. The links are exact; their components and numbers are the result. No pair of classes leaves its block's task.
@@ -12,6 +14,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,10 @@ from weftql.llm.common import materialize
 from weftql.llm.components import connected_components
 from weftql.llm.textscan import mixed, octets, shingle_sets
 
+#: Cells of the sketch of n-gram frequencies (a power of two; 4 bytes each are broadcast), and rows it travels in.
+CELLS, PARTS = 1 << 22, 16
+#: Below this similarity fragments get so small that unrelated sets agree on some; rare n-grams tell sets apart better there.
+FRAGMENTS_FROM = 90
 #: Classes and n-grams of a block; columns of a fragment.
 BLOCK_ROWS, BLOCK_GRAMS, FRAGMENT = 1024, 4_000_000, 4096
 #: Classes in families, 56 bytes each, up to which they are broadcast to the texts.
@@ -66,31 +73,127 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return mixed(np.concatenate(out))
 
 
-def _profile(k: int, percent: int):
-    """A row (id, n, k1, k2) for each text, and rows (k1, signature) for the sets a task hasn't seen before."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signature", pa.int64())])
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            x = _unpack(cells)
+            sums[part] = sums[part] + x if part in sums else x
+    yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "cells": pa.array([_pack(x) for x in sums.values()], pa.binary())})
+
+
+def _pack(cells: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(cells, 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0].astype(np.int64)
+
+
+def _count(k: int):
+    """A task's counts of all sets' n-grams in CELLS cells, as PARTS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            held = np.concatenate([np.empty(0, np.uint64), *_sets(batch, k)])
+            cells += np.bincount((held & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array([_pack(x) for x in np.split(cells, PARTS)], pa.binary())})
+
+    return run
+
+
+def sketch_of(ids: DataFrame, k: int) -> np.ndarray:
+    """How often n-grams occur, by cell, over the whole table. Tasks' counts are added up in two rounds; CELLS counts reach the driver."""
+    kind = "part int, cells binary"
+    first = ids.mapInArrow(_count(k), kind).repartition("part", F.pmod(F.xxhash64("cells"), F.lit(32))).mapInArrow(_add_up, kind)
+    out = np.zeros(CELLS, np.int64)
+    for r in first.repartition("part").mapInArrow(_add_up, kind).collect():
+        out[r["part"] * (CELLS // PARTS) : (r["part"] + 1) * (CELLS // PARTS)] = _unpack(r["cells"])
+    return out.astype(np.uint32)
+
+
+def rare_first(grams: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """The n-grams, rarest by the sketch first, of which two linked sets share at least one."""
+    order = np.argsort(sketch[(grams & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
+    return grams[order[: len(grams) - -(-percent * len(grams) // 100) + 1]]
+
+
+#: Signatures that a task holds before it passes them on.
+HELD = 1_000_000
+
+
+def _profile(k: int, percent: int, sketch=None):
+    """Rows for the exchange by signature: (signature, k1), once a task for equal signatures; the other classes that had it
+    become stars at once. What isn't a signature has a payload: a text's (id, n, k2), or a star's end."""
+    schema = pa.schema([("signature", pa.int64()), ("k1", pa.int64()), ("payload", pa.binary())])
+
+    def batch_of(signature, k1, payload) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signature, pa.int64()), pa.array(k1, pa.int64()), payload], schema=schema)
+
+    def passed(signs: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sign, key = np.concatenate(signs), np.concatenate(keys)
+        order = np.lexsort((key, sign))
+        sign, key = sign[order], key[order]
+        first = np.concatenate([[True], sign[1:] != sign[:-1]])
+        least = key[first][np.cumsum(first) - 1]
+        yield batch_of(sign[first], key[first], pa.nulls(int(first.sum()), pa.binary()))
+        ends = np.unique(np.stack([key[~first], least[~first]], axis=1), axis=0)
+        if len(ends):
+            yield batch_of(ends[:, 0], ends[:, 0], pa.array([x.tobytes() for x in ends[:, 1]], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, signs, held = [], [], 0
         for batch in batches:
-            rows, keys, signs = [], [], []
-            for s in _sets(batch, k):
+            k1s, payloads = [], []
+            for i, s in zip(batch.column("id").to_pylist(), _sets(batch, k), strict=True):
                 key = set_key(s)
-                rows.append((len(s), *key))
+                k1s.append(key[0])
+                payloads.append(np.array([i, len(s), key[1]], np.int64).tobytes())
                 if len(s) and key[0] not in seen:
                     seen.add(key[0])
-                    signs.append(signatures(s, percent))
+                    signs.append((rare_first(s, sketch.value, percent) if sketch else signatures(s, percent)).view(np.int64))
                     keys.append(np.full(len(signs[-1]), key[0], np.int64))
+                    held += len(signs[-1])
+            yield batch_of(k1s, k1s, pa.array(payloads, pa.binary()))
             if len(seen) > 1_000_000:  # copies that come later are only repeated
                 seen.clear()
-            none = pa.nulls(len(rows), pa.int64())
-            n, k1, k2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), n, k1, k2, none], schema=schema)
-            if keys:
-                none = pa.nulls(sum(map(len, keys)), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.concatenate(keys)), none, pa.array(np.concatenate(signs).view(np.int64))], schema=schema)
-
-    return run, "id long, n long, k1 long, k2 long, signature long"
+            if held >= HELD:
+                yield from passed(signs, keys)
+                keys, signs, held = [], [], 0
+        if held:
+            yield from passed(signs, keys)
+
+    return run, "signature long, k1 long, payload binary"
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature: texts (id, n, k1, k2) and stars (k1, star). One row is carried from batch to batch."""
+    last_sign, last_key = None, None
+    for batch in batches:
+        payload = batch.column("payload")
+        plain = payload.is_null().to_numpy(zero_copy_only=False)
+        sign, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", "k1"))
+        texts, ends = [], []
+        for k1, x in zip(key[~plain].tolist(), payload.filter(pa.array(~plain)).to_pylist(), strict=True):
+            values = np.frombuffer(x, np.int64).tolist()
+            if len(values) == 3:
+                texts.append((values[0], values[1], k1, values[2]))
+            else:
+                ends.append((k1, values[0]))
+        sign, key = sign[plain], key[plain]
+        if len(sign):
+            if last_sign is not None:
+                sign, key = np.append(last_sign, sign), np.append(last_key, key)
+            first = np.concatenate([[True], sign[1:] != sign[:-1]])
+            least = key[first][np.cumsum(first) - 1]
+            found = np.unique(np.stack([key, least], axis=1)[key != least], axis=0)
+            ends += map(tuple, found.tolist())
+            last_sign, last_key = sign[-1], least[-1]
+        n, m = len(texts), len(ends)
+        columns = [[t[0] for t in texts] + [None] * m, [t[1] for t in texts] + [None] * m, [t[2] for t in texts] + [e[0] for e in ends], [t[3] for t in texts] + [None] * m, [None] * n + [e[1] for e in ends]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "k1", "k2", "star"])
 
 
 def _members(k: int):
@@ -193,13 +296,12 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     id of a component that has another. Repeated rows link to each other. An empty table gives no rows.
     """
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    profile = materialize(ids.mapInArrow(*_profile(k, percent)), "jaccard-profile")
-    sets = profile.where("signature IS NULL").select("id", "n", "k1", "k2")
+    sketch = None if percent >= FRAGMENTS_FROM else docs.sparkSession.sparkContext.broadcast(sketch_of(ids, k))
+    signed = ids.mapInArrow(*_profile(k, percent, sketch)).repartition("signature").sortWithinPartitions("signature", "k1")
+    profile = materialize(signed.mapInArrow(_stars, "id long, n long, k1 long, k2 long, star long"), "jaccard-profile")
+    sets = profile.where("star IS NULL").select("id", "n", "k1", "k2")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
-
-    signed = profile.where("signature IS NOT NULL").select("signature", "k1")
-    shared = signed.groupBy("signature").agg(F.min("k1").alias("b"), F.max("k1").alias("top")).where("b <> top").select("signature", "b")
-    stars = signed.join(shared, "signature").select(F.col("k1").alias("a"), "b").where("a <> b")
+    stars = profile.where("star IS NOT NULL").select(F.col("k1").alias("a"), F.col("star").alias("b"))
     families = connected_components(stars, "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
 
     members = materialize(classes.join(families, "k1"), "jaccard-members")
