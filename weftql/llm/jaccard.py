@@ -114,9 +114,11 @@ def sketch_of(ids: DataFrame, k: int) -> np.ndarray:
 
 
 def rare_first(grams: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams, rarest by the sketch first, of which two linked sets share at least one."""
+    """The n-grams, rarest by the sketch first, of which two linked sets share at least one: hashed with the set's size range, for
+    the pairs with the range below and for those with the next, so that sets of other sizes don't meet."""
     order = np.argsort(sketch[(grams & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-    return grams[order[: len(grams) - -(-percent * len(grams) // 100) + 1]]
+    first, number = grams[order[: len(grams) - -(-percent * len(grams) // 100) + 1]], size_ranges(len(grams), percent)[1]
+    return np.concatenate([mixed(first, 101 + number), mixed(first, 102 + number)])
 
 
 #: Signatures that a task holds before it passes them on.
