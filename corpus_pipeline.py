@@ -4,16 +4,18 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 on whatever the stage before kept.
 
 - quality: documents that the quality rules reject go.
-- near_duplicates: of each component of near duplicates the document with the least id stays (of repeated rows of it, one).
-  Documents without words link to nothing and stay.
+- near_duplicates: of each component of near duplicates the row with the least id stays, null last (of several, one). Documents
+  without words link to nothing and stay, repeated rows of them once.
 - decontaminate: documents in which a benchmark passage occurs go.
-- mix: the mix to target weights; a document is there once for each copy that the mix takes of it.
+- mix: the mix to target weights; a row is there once for each copy that the mix takes of it.
 - shard: every row gets a shard and its slot there.
+
+Stages decide by the row, not by the id: ids may be null or repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftql.llm import decontaminate, jaccard, mixing, quality, sharding
@@ -27,6 +29,21 @@ PARTS_OF_ROW = ("doc_id", "text", "lang", "source")
 NO_ID = -(1 << 63)
 
 
+def row_key() -> Column:
+    """Tells rows apart, together with the id."""
+    return F.xxhash64(*(x for c in COLUMNS for x in (c, F.col(c).isNull())))
+
+
+def picked(docs: DataFrame, chosen: DataFrame, copies: Column) -> DataFrame:
+    """The rows of docs that are in chosen(doc_id, __row), each as often as copies, aggregated over equal rows, says."""
+    keys = chosen.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), "__row").agg(F.count("*").alias("__rows"), copies.alias("__copies"))
+    keys = materialize(keys.where("__copies > 0"), "pipeline-rows")
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__row", row_key()).join(keys, ["__id", "__row"])
+    # only repeated rows need to meet
+    rows = keyed.where("__rows = 1").unionByName(keyed.where("__rows > 1").dropDuplicates(["__id", "__row"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.xxhash64(*PARTS_OF_ROW)
     judged = quality.judge_quality(docs.withColumn("__row", row), table(spark, sf_dir, "labels"), keep=("doc_id", "lang", "__row"))
@@ -36,11 +53,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # five words and a similarity of 0.8, as near-duplicate stages take
-    joined = jaccard.jaccard_join(docs, k=5, percent=80)
-    stays = joined.where("n_shingles = 0 OR doc_id = component_id OR component_id IS NULL")
-    ids = stays.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
-    # the join's partitions hold all rows of an id, so repeated rows meet without another exchange
-    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "__id", "left_semi").dropDuplicates(["__id", "text"]).select(*docs.columns)
+    joined = jaccard.jaccard_join(docs, k=5, percent=80, row=row_key())
+    return picked(docs, joined.where("stays").withColumn("__row", F.col("row")), F.lit(1).cast("long"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +63,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix_sources(docs, whole=True).where("copies > 0")
-    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.xxhash64("source", F.col("source").isNull()).alias("__source"), "copies").groupBy("__id", "__source").agg(F.max("copies").alias("copies"))
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__source", F.xxhash64("source", F.col("source").isNull()))
-    return keyed.join(taken, ["__id", "__source"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return picked(docs, mixing.mix_sources(docs.withColumn("__row", row_key()), whole=True, keep=("__row",)), F.sum("copies"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

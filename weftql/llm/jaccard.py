@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftql.llm.common import materialize
@@ -127,7 +127,7 @@ HELD = 1_000_000
 
 def _profile(k: int, percent: int, sketch=None):
     """Rows for the exchange by signature: (signature, k1), once a task for equal signatures; the other classes that had it
-    become stars at once. What isn't a signature has a payload: a text's (id, n, k2), or a star's end."""
+    become stars at once. What isn't a signature has a payload: a text's (id, n, k2, row), or a star's end."""
     schema = pa.schema([("signature", pa.int64()), ("k1", pa.int64()), ("payload", pa.binary())])
 
     def batch_of(signature, k1, payload) -> pa.RecordBatch:
@@ -149,10 +149,10 @@ def _profile(k: int, percent: int, sketch=None):
         keys, signs, held = [], [], 0
         for batch in batches:
             k1s, payloads = [], []
-            for i, s in zip(batch.column("id").to_pylist(), _sets(batch, k), strict=True):
+            for i, row, s in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), _sets(batch, k), strict=True):
                 key = set_key(s)
                 k1s.append(key[0])
-                payloads.append(np.array([i, len(s), key[1]], np.int64).tobytes())
+                payloads.append(np.array([i, len(s), key[1], row], np.int64).tobytes())
                 if len(s) and key[0] not in seen:
                     seen.add(key[0])
                     signs.append((rare_first(s, sketch.value, percent) if sketch else signatures(s, percent)).view(np.int64))
@@ -171,7 +171,7 @@ def _profile(k: int, percent: int, sketch=None):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: texts (id, n, k1, k2) and stars (k1, star). One row is carried from batch to batch."""
+    """From rows sorted by signature: texts (id, n, k1, k2, row) and stars (k1, star). One row is carried from batch to batch."""
     last_sign, last_key = None, None
     for batch in batches:
         payload = batch.column("payload")
@@ -180,8 +180,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ends = [], []
         for k1, x in zip(key[~plain].tolist(), payload.filter(pa.array(~plain)).to_pylist(), strict=True):
             values = np.frombuffer(x, np.int64).tolist()
-            if len(values) == 3:
-                texts.append((values[0], values[1], k1, values[2]))
+            if len(values) == 4:
+                texts.append((values[0], values[1], k1, values[2], values[3]))
             else:
                 ends.append((k1, values[0]))
         sign, key = sign[plain], key[plain]
@@ -194,8 +194,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends += map(tuple, found.tolist())
             last_sign, last_key = sign[-1], least[-1]
         n, m = len(texts), len(ends)
-        columns = [[t[0] for t in texts] + [None] * m, [t[1] for t in texts] + [None] * m, [t[2] for t in texts] + [e[0] for e in ends], [t[3] for t in texts] + [None] * m, [None] * n + [e[1] for e in ends]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "k1", "k2", "star"])
+        columns = [[t[0] for t in texts] + [None] * m, [t[1] for t in texts] + [None] * m, [t[2] for t in texts] + [e[0] for e in ends], [t[3] for t in texts] + [None] * m, [None] * n + [e[1] for e in ends], [t[4] for t in texts] + [None] * m]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "k1", "k2", "star", "row"])
 
 
 def _members(k: int):
@@ -289,20 +289,22 @@ def _verify(percent: int):
     return run, "a string, b string, links long"
 
 
-def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90, row: Column | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
 
     Two rows link when their sets of k-word shingles (A-Z lower-cased; fewer words: the whole sequence as one) have a
     Jaccard similarity of at least percent / 100. component_id: the least doc_id reachable by links. n_links: rows linked to.
     Null or wordless text: no shingles, no links, its own id. A null doc_id takes part like others, but is never the least
     id of a component that has another. Repeated rows link to each other. An empty table gives no rows.
+    row: a long that tells rows apart. With it come the columns row and stays: whether the row is its component's first by id,
+    null last, then class, then row; components of null ids have one too, and a row without shingles always stays.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", (F.lit(0).cast("long") if row is None else row).alias("row"))
     sketch = None if percent >= FRAGMENTS_FROM else docs.sparkSession.sparkContext.broadcast(sketch_of(ids, k))
     signed = ids.mapInArrow(*_profile(k, percent, sketch)).repartition("signature").sortWithinPartitions("signature", "k1")
-    profile = materialize(signed.mapInArrow(_stars, "id long, n long, k1 long, k2 long, star long"), "jaccard-profile")
-    sets = profile.where("star IS NULL").select("id", "n", "k1", "k2")
-    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    profile = materialize(signed.mapInArrow(_stars, "id long, n long, k1 long, k2 long, star long, row long"), "jaccard-profile")
+    sets = profile.where("star IS NULL").select("id", "n", "k1", "k2", "row")
+    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), *([] if row is None else [F.min(F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "row")).alias("first")]))
     stars = profile.where("star IS NOT NULL").select(F.col("k1").alias("a"), F.col("star").alias("b"))
     families = connected_components(stars, "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
 
@@ -312,16 +314,18 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     placed = placed.select("id", "family", "k1", "k2", "copies", "block", "blocks")
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)  # beyond that, both sides are shuffled by id
-    rows = ids.join(placed, "id").mapInArrow(*_members(k))
+    rows = ids.select("id", "text").join(placed, "id").mapInArrow(*_members(k))
     rows = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
     links = materialize(rows.mapInArrow(*_verify(percent)), "jaccard-links")
     roots = connected_components(links.select("a", "b"), "jaccard-components")
     key = F.concat(F.lpad(F.lower(F.hex("k1")), 16, "0"), F.lpad(F.lower(F.hex("k2")), 16, "0"))
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     named = classes.withColumn("key", key).join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"), *([] if row is None else [F.min(F.struct("first.no_id", "first.id", "k1", "k2", "first.row")).alias("stay")]))
+    stay = [] if row is None else [F.when((F.col("stay.k1") == F.col("k1")) & (F.col("stay.k2") == F.col("k2")), F.struct("stay.id", "stay.row")).alias("stay")]
+    named = named.join(least, "root").select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), *stay)
     real = F.when(F.col("id") != NO_ID, F.col("id"))
+    kept = [] if row is None else ["row", ((F.col("n") == 0) | F.coalesce((F.col("stay.id") == F.col("id")) & (F.col("stay.row") == F.col("row")), F.lit(False))).alias("stays")]
     return sets.join(named, ["k1", "k2"], "left").select(
-        real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, real).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, real).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *kept
     )

@@ -92,6 +92,7 @@ def mix_sources(
     size: Column | None = None,
     seed: str = "mix",
     whole: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of docs(doc_id, source, text): doc_id, source, size, source_size, target, taken, copies, position, again.
 
@@ -101,15 +102,15 @@ def mix_sources(
     pass's first word, null where nothing is taken; again: of the second pass. whole: a copy is taken whole or not at all,
     by whether its middle is below the target, so a source misses its target by half a document at most.
     Rows are sorted by position, null last, then doc_id. A null doc_id is a value like others, repeated rows each count,
-    an empty table gives no rows. max_epochs is 1 or 2. Columns of docs besides these three are ignored.
+    an empty table gives no rows. max_epochs is 1 or 2. keep: further columns of docs, sortable, that come along and break ties.
     """
     if max_epochs not in (1, 2):
         raise ValueError("max_epochs is 1 or 2")
     schedules = schedules or SCHEDULES
-    sized = docs.select("doc_id", "source", (words_count(F.col("text")) if size is None else size.cast("long")).alias("size"), key_hash("doc_id", seed=seed).alias("h"))
+    sized = docs.select("doc_id", "source", (words_count(F.col("text")) if size is None else size.cast("long")).alias("size"), key_hash("doc_id", seed=seed).alias("h"), *keep)
     sized = materialize(sized.withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix-sizes")
     targets = source_targets(sized, schedules, share, max_epochs).withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source")
-    placed = prefix_sums(sized, "grp", "h", "size", "start", sized.count(), ["doc_id", "size"]).join(targets, "grp")
+    placed = prefix_sums(sized, "grp", "h", "size", "start", sized.count(), ["doc_id", "size", *keep]).join(targets, "grp")
     goal = F.round("target").cast("long")
     if whole:
         middle = F.col("start") + F.col("size") / 2
@@ -120,7 +121,7 @@ def mix_sources(
     due = lambda k: F.expr(time_sql(schedules, f"least(CAST(start + {k} * source_size AS DOUBLE) / target, CAST(1 AS DOUBLE))"))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("one") + F.col("two")).alias("taken"),
-        (F.signum("one") + F.signum("two")).cast("int").alias("copies"), F.when(F.col("one") > 0, due(0)).alias("position"), F.when(F.col("two") > 0, due(1)).alias("again"),
+        (F.signum("one") + F.signum("two")).cast("int").alias("copies"), F.when(F.col("one") > 0, due(0)).alias("position"), F.when(F.col("two") > 0, due(1)).alias("again"), *keep,
     ).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
