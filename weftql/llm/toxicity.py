@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from weftql.llm.common import materialize
 from weftql.llm.textscan import LOWER_BLANK, octets, shingle_sets
 
-#: Bounds of the classifier's sample and of its vocabulary: labelled documents and candidate tokens, most frequent first.
-MAX_LABELLED, MAX_TOKENS = 200_000, 50_000
+#: Bound of the classifier's sample: labelled documents. Its vocabulary has no other; tokens are tested where their counts are.
+MAX_LABELLED = 200_000
 PREFIXES = range(4, 10)
 PRIOR_DOCS, RISK, PRUDENCE, DRIFT = 10.0, 0.01, 1.0, -0.15
 MAX_P, BIN, TOP_BIN = 0.05, 0.5, 200
@@ -103,27 +103,57 @@ def learnt_from(doc_id, folds: int = 3, held: int = 1):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds != held, F.lit(True))
 
 
-def _document_frequencies(wanted=None, model=None):
-    """(token, docs) over a task's texts: of the wanted tokens, of those in words that the model finds toxic, or of all."""
+def _document_frequencies(model=None):
+    """(token, toxic, clean): labelled texts of a task that have it, of tokens in words that the model finds toxic, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        known = None if wanted is None else wanted.value
+        clean, toxic = counts = Counter(), Counter()
         scorer = model and model.value.scorer()
-        empty = lambda: pa.RecordBatch.from_pydict({"token": pa.array(list(counts), pa.binary()), "docs": pa.array(list(counts.values()), pa.int64())})
+
+        def passed() -> pa.RecordBatch:
+            tokens = list(clean.keys() | toxic.keys())
+            return pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.binary()), **{name: pa.array([c[t] for t in tokens], pa.int64()) for name, c in (("toxic", toxic), ("clean", clean))}})
+
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = list(set(words_of(text)))
                 if scorer:
                     words = [words[i] for i in np.flatnonzero(scorer(words) > 0)]
-                found = {t for w in words for t in tokens_of(w)}
-                counts.update(found if known is None else found & known)
-            if len(counts) > 500_000:
-                yield empty()
-                counts.clear()
-        yield empty()
+                counts[label].update({t for w in words for t in tokens_of(w)})
+            if len(clean) + len(toxic) > 500_000:
+                yield passed()
+                clean.clear()
+                toxic.clear()
+        yield passed()
+
+    return run, "token binary, toxic long, clean long"
+
+
+def _weights(n_toxic: int, n_clean: int, tests: int):
+    """(token, weight) of the tokens that log_odds knows, from (token, toxic, clean)."""
+    schema = pa.schema([("token", pa.binary()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, toxic, clean = (batch.column(c).to_pylist() for c in ("token", "toxic", "clean"))
+            found = log_odds(dict(zip(tokens, toxic, strict=True)), dict(zip(tokens, clean, strict=True)), n_toxic, n_clean, tests)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], schema=schema)
+
+    return run, "token binary, weight double"
 
-    return run, "token binary, docs long"
+
+def _hiding(model):
+    """Of tokens without a weight those that keep a word from a shorter token's weight; no others change a score."""
+
+    def hides(token: bytes) -> bool:
+        stem, end = (token[1:], len(token)) if token[:1] == b"=" else (token, len(token))
+        return any(stem[:n] in model.value.weights for n in PREFIXES if n < end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"token": pa.array([t for t in batch.column("token").to_pylist() if hides(t)], pa.binary())})
+
+    return run, "token binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +191,14 @@ def _strengths(model):
     return run, "kind string, bin int, toxic int, n long"
 
 
-def log_odds(toxic: dict[bytes, int], clean: dict[bytes, int], n_toxic: int, n_clean: int) -> dict[bytes, float]:
-    """Weights of the tokens that stand out, by log-odds with a Dirichlet prior in proportion to the token's overall frequency."""
+def log_odds(toxic: dict[bytes, int], clean: dict[bytes, int], n_toxic: int, n_clean: int, tests: int) -> dict[bytes, float]:
+    """Weights of the tokens that stand out among so many tested, by log-odds with a Dirichlet prior in proportion to the token's overall frequency."""
     out = {}
     for token, t in toxic.items():
         c = clean.get(token, 0)
         prior = PRIOR_DOCS * (t + c) / (n_toxic + n_clean)
         at, ac = t + prior, c + prior
-        if binomial_tail(t, t + c, n_toxic / (n_toxic + n_clean)) > RISK / len(toxic):
+        if binomial_tail(t, t + c, n_toxic / (n_toxic + n_clean)) > RISK / tests:
             if c >= 3:
                 out[token] = 0.0
             continue
@@ -251,13 +281,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not sizes.get(1) or not sizes.get(0):
         return Model({}, offset=-4.0)
 
-    def frequencies(toxic: int, **of):
-        found = rows.where(F.col("toxic") == toxic).select("text").mapInArrow(*_document_frequencies(**of)).groupBy("token").agg(F.sum("docs").alias("docs"))
-        return {bytes(r["token"]): r["docs"] for r in found.where("docs >= 3").orderBy(F.desc("docs"), "token").limit(MAX_TOKENS).collect()}
+    def frequencies(rows: DataFrame, model=None) -> DataFrame:
+        return rows.select("text", "toxic").mapInArrow(*_document_frequencies(model)).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    tested = materialize(frequencies(rows.where("toxic IN (0, 1)")).where("toxic >= 3"), "toxicity-tokens")
+    weighed = tested.mapInArrow(*_weights(sizes[1], sizes[0], tested.count()))
+    positive = {bytes(r["token"]): r["weight"] for r in weighed.where("weight > 0").collect()}
+    found = context.broadcast(Model(positive))
+
+    def hiding(tokens: DataFrame) -> dict[bytes, float]:
+        return {bytes(r["token"]): 0.0 for r in tokens.select("token").mapInArrow(*_hiding(found)).collect()}
 
-    toxic = frequencies(1)
-    model = Model(log_odds(toxic, frequencies(0, wanted=context.broadcast(frozenset(toxic))), sizes[1], sizes[0]))
-    model.weights = {**dict.fromkeys(frequencies(0, model=context.broadcast(model)), 0.0), **model.weights}
+    model = Model({**hiding(weighed.where("weight = 0")), **positive})
+    model.weights = {**hiding(frequencies(rows.where("toxic = 0"), context.broadcast(model)).where("clean >= 3")), **model.weights}
 
     def counted():
         kinds: dict[str, dict] = {"strength": {}, "best": {}, "score": {}, "words": {}}
