@@ -1,21 +1,25 @@
 """N-gram Jaccard join by vertical partitioning.
 
 1. Every text becomes a set of hashed word shingles. Texts of equal sets form a class; classes are compared, not copies.
-2. The global n-gram order (by hash) is cut into fragments, one more than two linked sets can differ in n-grams. So linked
-   sets agree on a whole fragment. How many fragments that takes depends on size; sizes fall into ranges so wide that links
-   stay within neighbouring ranges, and a set is cut for both pairs of ranges it belongs to. Classes that agree on a fragment
-   form stars around the least of them, and the stars' components are families. No pair is listed. Below a similarity of
-   FRAGMENTS_FROM percent, where such fragments hold too few n-grams to tell sets apart, sets that share one of their rarest
-   n - ceil(t n) + 1 n-grams form the stars instead; a sketch of fixed size over all documents orders the n-grams.
+2. The global n-gram order (by hash) is cut into fragments, by sizes of sets: a level for every octave of sizes; a set takes
+   part in its own level and, where larger partners may lie in the next, in that. Linked sets of n n-grams differ in at most
+   `differing(n)` n-grams, so they agree on all other fragments. Empty fragments count for nothing; of the others a set sends
+   its largest, as many as can differ and `spare(level)` more: linked sets share `spare` signatures at least (`signatures`
+   has the proof, and what sets with too few fragments do). A class of which fewer are shared with others has no links; such
+   classes leave, in rounds, as with every one more signatures stand alone. What remains forms families, the components of
+   classes that share a signature. No pair is listed.
 3. Families are cut into blocks of bounded size. Where two blocks of a family meet, the order is cut into fragments again;
    overlaps are counted separately for each fragment, summed for each pair of classes, and compared with the exact bound.
 4. The links are exact; their components and numbers are the result. No pair of classes leaves its block's task.
+
+Sets are told apart by 64-bit hashes of their n-grams and a 128-bit key of the whole set.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +30,16 @@ from weftql.llm.common import materialize
 from weftql.llm.components import connected_components
 from weftql.llm.textscan import mixed, octets, shingle_sets
 
-#: Cells of the sketch of n-gram frequencies (a power of two; 4 bytes each are broadcast), and rows it travels in.
-CELLS, PARTS = 1 << 22, 16
-#: Below this similarity fragments get so small that unrelated sets agree on some; rare n-grams tell sets apart better there.
-FRAGMENTS_FROM = 90
-#: Classes and n-grams of a block; columns of a fragment.
-BLOCK_ROWS, BLOCK_GRAMS, FRAGMENT = 1024, 4_000_000, 4096
-#: Classes in families, 56 bytes each, up to which they are broadcast to the texts.
+#: Classes and n-grams of a block; columns of a fragment of a block.
+BLOCK_ROWS, BLOCK_GRAMS, FRAGMENT = 1024, 500_000, 2048
+#: Classes in families, 64 bytes each, up to which they are broadcast to the texts. Beyond that both sides are shuffled.
 BROADCAST_ROWS = 300_000
+#: Rounds in which classes with too few shared signatures leave. Any number gives the same links.
+LEAVING_ROUNDS = 2
+#: Signatures that a task holds before it passes them on, and class keys that it remembers.
+HELD, REMEMBERED = 400_000, 200_000
+#: Levels above this one are those of sets with too few fragments for their level.
+PLAIN = 64
 NO_ID = -(1 << 63)
 
 
@@ -46,171 +52,184 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     return shingle_sets(octets(batch.column("text")), k)
 
 
-def size_ranges(n: int, percent: int) -> tuple[int, int]:
-    """(least size of the range n is in, number of the range). Sizes that may link are in the same or in neighbouring ranges."""
-    low, i = 1, 0
-    while (after := low * 100 // percent + 1) <= n:
-        low, i = after, i + 1
-    return low, i
-
-
-def fragments_for(low: int, percent: int) -> int:
-    """Fragments for sets of sizes up to the top of the range that begins at low: one more than linked ones can differ in."""
-    top = low * 100 // percent
-    return 2 * top * (100 - percent) // (100 + percent) + 1
+def differing(n: int, percent: int) -> int:
+    """N-grams in which a set of n differs at most, both sides counted, from one that it links to: that one has n / t at most."""
+    return n * (100 - percent) // percent
 
 
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's fragments, for its own range with the one below and for the next range with its own."""
-    low, number = size_ranges(len(grams), percent)
-    sums = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(mixed(grams, 13), out=sums[1:])
-    out = []
-    for begin, i in ((low, number), (low * 100 // percent + 1, number + 1)):
-        parts = fragments_for(begin, percent)
-        bounds = np.searchsorted(((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
-        out.append(mixed(sums[bounds[1:]] - sums[bounds[:-1]], 17) + mixed((np.arange(parts) + (i << 32)).astype(np.uint64), 19))
-    return mixed(np.concatenate(out))
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            x = _unpack(cells)
-            sums[part] = sums[part] + x if part in sums else x
-    yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "cells": pa.array([_pack(x) for x in sums.values()], pa.binary())})
+@cache
+def levels(n: int, percent: int) -> list[int]:
+    """The octave of sizes that n lies in, and the next one where larger partners may lie there."""
+    own = (n - 1).bit_length()
+    return [own, own + 1] if n * 100 // percent > 1 << own else [own]
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    return zlib.compress(np.minimum(cells, 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+@cache
+def spare(level: int, percent: int) -> int:
+    """Signatures that linked sets of a level share at least. Any number from 1 gives the same links; more of them tell sets that
+    only have a passage in common from near copies, and are more to send."""
+    top, k = 1 << level, differing(1 << level, percent)
+    return max(1, min(12 * k * (100 - percent) // (5 * percent), 8 * top // 10 - k), min(8, (top - k) // 3))
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0].astype(np.int64)
-
-
-def _count(k: int):
-    """A task's counts of all sets' n-grams in CELLS cells, as PARTS rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            held = np.concatenate([np.empty(0, np.uint64), *_sets(batch, k)])
-            cells += np.bincount((held & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "cells": pa.array([_pack(x) for x in np.split(cells, PARTS)], pa.binary())})
-
-    return run
+@cache
+def fragments(level: int, percent: int) -> int:
+    """Into how many fragments the order is cut: so many that the largest sets of the level fill some more than they send."""
+    top = 1 << level
+    enough = min(1.1 * (differing(top, percent) + spare(level, percent)) + 2, 0.9 * top)
+    parts = 4
+    while parts < 8 * top and parts * (1 - exp(-top / parts)) < enough:
+        parts += 1 + parts // 16
+    return parts
 
 
-def sketch_of(ids: DataFrame, k: int) -> np.ndarray:
-    """How often n-grams occur, by cell, over the whole table. Tasks' counts are added up in two rounds; CELLS counts reach the driver."""
-    kind = "part int, cells binary"
-    first = ids.mapInArrow(_count(k), kind).repartition("part", F.pmod(F.xxhash64("cells"), F.lit(32))).mapInArrow(_add_up, kind)
-    out = np.zeros(CELLS, np.int64)
-    for r in first.repartition("part").mapInArrow(_add_up, kind).collect():
-        out[r["part"] * (CELLS // PARTS) : (r["part"] + 1) * (CELLS // PARTS)] = _unpack(r["cells"])
-    return out.astype(np.uint32)
+def signatures(grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, level) of the fragments that a set sends, a signature being a hash of all n-grams in a fragment.
 
-
-def rare_first(grams: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams, rarest by the sketch first, of which two linked sets share at least one: hashed with the set's size range, for
-    the pairs with the range below and for those with the next, so that sets of other sizes don't meet."""
-    order = np.argsort(sketch[(grams & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-    first, number = grams[order[: len(grams) - -(-percent * len(grams) // 100) + 1]], size_ranges(len(grams), percent)[1]
-    return np.concatenate([mixed(first, 101 + number), mixed(first, 102 + number)])
-
-
-#: Signatures that a task holds before it passes them on.
-HELD = 1_000_000
-
-
-def _profile(k: int, percent: int, sketch=None):
-    """Rows for the exchange by signature: (signature, k1), once a task for equal signatures; the other classes that had it
-    become stars at once. What isn't a signature has a payload: a text's (id, n, k2, row), or a star's end."""
-    schema = pa.schema([("signature", pa.int64()), ("k1", pa.int64()), ("payload", pa.binary())])
-
-    def batch_of(signature, k1, payload) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(signature, pa.int64()), pa.array(k1, pa.int64()), payload], schema=schema)
-
-    def passed(signs: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sign, key = np.concatenate(signs), np.concatenate(keys)
+    At a level, let x have m fragments that aren't empty and y link to x. They differ in k n-grams at most, so at most k of
+    either's fragments differ, with k = differing(|x|) as with differing(|y|). Both order fragments by (largest, signature),
+    and send the first k + spare. Of those that x sends, k at most are not y's: spare or more are common, and the first spare
+    of the common ones are among the first k + spare of both. So both have spare shared signatures. If x has fewer than
+    k + spare, it sends all; then every common one that y sends is shared, which again are spare or more if y has k + spare.
+    If neither has, both are `plain` as well: they also send the n - ceil(t n) + 1 least n-grams, of which linked sets share one.
+    Sets of which nothing may differ (k = 0) link to equal sets only, their own class, and send nothing.
+    """
+    none, k, signs, at = np.empty(0, np.uint64), differing(len(grams), percent), [], []
+    for level in levels(len(grams), percent) if k else []:
+        part = ((grams >> np.uint64(32)) * np.uint64(fragments(level, percent))) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sign = mixed(np.add.reduceat(mixed(grams, 13), first), 20 + level)
+        if len(first) > (send := k + spare(level, percent)):
+            sign = sign[np.lexsort((sign, -np.diff(np.append(first, len(grams)))))[:send]]
+        elif len(first) < send:
+            plain = mixed(grams[: len(grams) - -(-percent * len(grams) // 100) + 1], 200 + level)
+            signs.append(plain)
+            at.append(np.full(len(plain), PLAIN + level, np.int8))
+        signs.append(sign)
+        at.append(np.full(len(sign), level, np.int8))
+    return (np.concatenate(signs), np.concatenate(at)) if signs else (none, np.empty(0, np.int8))
+
+
+#: What a row on its way to the exchange is: a signature that one class of the task has; one that several have, with the least
+#: of them; another class of these; or a text.
+ONE, LEAST, OTHER, TEXT = range(4)
+SIGNED = pa.schema([("kind", pa.int8()), ("signature", pa.int64()), ("k1", pa.int64()), ("level", pa.int8()), ("payload", pa.binary())])
+
+
+def _profile(k: int, percent: int):
+    """Rows for the exchange. A task sends a signature once, so no signature, however common, meets in one task with all its
+    classes; the classes are dealt by themselves. A text's payload is (id, n, k2, row, text hash)."""
+
+    def rows_of(kind, signature, k1, level, payload=None) -> pa.RecordBatch:
+        payload = pa.nulls(len(signature), pa.binary()) if payload is None else payload
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(signature, pa.int64()), pa.array(k1, pa.int64()), pa.array(level, pa.int8()), payload], schema=SIGNED)
+
+    def passed(held: list[tuple]) -> pa.RecordBatch:
+        sign, key, level = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((key, sign))
-        sign, key = sign[order], key[order]
+        sign, key, level = sign[order], key[order], level[order]
         first = np.concatenate([[True], sign[1:] != sign[:-1]])
-        least = key[first][np.cumsum(first) - 1]
-        yield batch_of(sign[first], key[first], pa.nulls(int(first.sum()), pa.binary()))
-        ends = np.unique(np.stack([key[~first], least[~first]], axis=1), axis=0)
-        if len(ends):
-            yield batch_of(ends[:, 0], ends[:, 0], pa.array([x.tobytes() for x in ends[:, 1]], pa.binary()))
+        shared = np.append(~first[1:], False)
+        return rows_of(np.where(first, np.where(shared, LEAST, ONE), OTHER).astype(np.int8), sign, key, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, signs, held = [], [], 0
-        for batch in batches:
-            k1s, payloads = [], []
-            for i, row, s in zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), _sets(batch, k), strict=True):
-                key = set_key(s)
-                k1s.append(key[0])
-                payloads.append(np.array([i, len(s), key[1], row], np.int64).tobytes())
-                if len(s) and key[0] not in seen:
-                    seen.add(key[0])
-                    signs.append((rare_first(s, sketch.value, percent) if sketch else signatures(s, percent)).view(np.int64))
-                    keys.append(np.full(len(signs[-1]), key[0], np.int64))
-                    held += len(signs[-1])
-            yield batch_of(k1s, k1s, pa.array(payloads, pa.binary()))
-            if len(seen) > 1_000_000:  # copies that come later are only repeated
-                seen.clear()
-            if held >= HELD:
-                yield from passed(signs, keys)
-                keys, signs, held = [], [], 0
-        if held:
-            yield from passed(signs, keys)
-
-    return run, "signature long, k1 long, payload binary"
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: texts (id, n, k1, k2, row) and stars (k1, star). One row is carried from batch to batch."""
-    last_sign, last_key = None, None
+        held, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                k1s, payloads = [], []
+                for i, row, h, s in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "hash")), _sets(batch, k), strict=True):
+                    key = set_key(s)
+                    k1s.append(key[0])
+                    payloads.append(np.array([i, len(s), key[1], row, h], np.int64).tobytes())
+                    if len(s) and key[0] not in seen:
+                        seen.add(key[0])
+                        sign, level = signatures(s, percent)
+                        held.append((sign.view(np.int64), np.full(len(sign), key[0], np.int64), level))
+                        size += len(sign)
+                yield rows_of(np.full(len(k1s), TEXT, np.int8), k1s, k1s, np.zeros(len(k1s), np.int8), pa.array(payloads, pa.binary()))
+                if len(seen) > REMEMBERED:  # copies that come later are only repeated
+                    seen.clear()
+                if size >= HELD:
+                    yield passed(held)
+                    held, size = [], 0
+        if size:
+            yield passed(held)
+
+    return run, "kind byte, signature long, k1 long, level byte, payload binary"
+
+
+PROFILE = pa.schema([*((c, pa.int64()) for c in ("id", "n", "k1", "k2", "row", "hash", "signature")), ("level", pa.int8())])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature and class: texts, and (signature, k1, level) where several classes have the signature.
+
+    What is carried from batch to batch is one class of a signature that may still turn out to be shared.
+    """
+    carried: tuple | None = None  # signature, k1, level, whether it is known to be shared
+
     for batch in batches:
-        payload = batch.column("payload")
-        plain = payload.is_null().to_numpy(zero_copy_only=False)
-        sign, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", "k1"))
-        texts, ends = [], []
-        for k1, x in zip(key[~plain].tolist(), payload.filter(pa.array(~plain)).to_pylist(), strict=True):
-            values = np.frombuffer(x, np.int64).tolist()
-            if len(values) == 4:
-                texts.append((values[0], values[1], k1, values[2], values[3]))
-            else:
-                ends.append((k1, values[0]))
-        sign, key = sign[plain], key[plain]
-        if len(sign):
-            if last_sign is not None:
-                sign, key = np.append(last_sign, sign), np.append(last_key, key)
-            first = np.concatenate([[True], sign[1:] != sign[:-1]])
-            least = key[first][np.cumsum(first) - 1]
-            found = np.unique(np.stack([key, least], axis=1)[key != least], axis=0)
-            ends += map(tuple, found.tolist())
-            last_sign, last_key = sign[-1], least[-1]
-        n, m = len(texts), len(ends)
-        columns = [[t[0] for t in texts] + [None] * m, [t[1] for t in texts] + [None] * m, [t[2] for t in texts] + [e[0] for e in ends], [t[3] for t in texts] + [None] * m, [None] * n + [e[1] for e in ends], [t[4] for t in texts] + [None] * m]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "k1", "k2", "star", "row"])
+        kind, sign, key, level = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "signature", "k1", "level"))
+        text = kind == TEXT
+        values = np.frombuffer(b"".join(batch.column("payload").filter(pa.array(text)).to_pylist()), np.int64).reshape(-1, 5)
+        found = [(sign[kind == OTHER], key[kind == OTHER], level[kind == OTHER])]
+        own = kind < OTHER
+        s, c, lv, known = sign[own], key[own], level[own], kind[own] == LEAST
+        if carried:
+            s, c, lv, known = np.append(carried[0], s), np.append(carried[1], c), np.append(carried[2], lv), np.append(carried[3], known)
+        if len(s):
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            several = np.logical_or.reduceat(known, first) | (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first))
+            last = s[-1], c[-1], lv[-1], bool(several[-1])
+            several = np.repeat(several, np.diff(np.append(first, len(s))))
+            found.append((s[several], c[several], lv[several]))
+            carried = last
+        sign, key, level = (np.concatenate(x) for x in zip(*found, strict=True))
+        n, m = len(values), len(sign)
+        columns = [pa.array(np.append(x, np.zeros(m, np.int64))) for x in (values[:, 0], values[:, 1])]
+        columns.append(pa.array(np.append(batch.column("k1").to_numpy(zero_copy_only=False)[text], key)))
+        columns += [pa.array(np.append(x, np.zeros(m, np.int64))) for x in (values[:, 2], values[:, 3], values[:, 4])]
+        columns.append(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(sign, pa.int64())]))
+        columns.append(pa.array(np.append(np.zeros(n, np.int8), level).astype(np.int8)))
+        yield pa.RecordBatch.from_arrays(columns, schema=PROFILE)
+
+
+def families_of(shared: DataFrame, percent: int) -> DataFrame:
+    """k1, family of the classes of shared(signature, k1, level) that may have links."""
+    need = F.element_at(F.array(*[F.lit(1 if level >= PLAIN else spare(level, percent)) for level in range(2 * PLAIN)]), F.col("level") + 1)
+    edges = materialize(shared.distinct(), "jaccard-signatures")
+    for _ in range(LEAVING_ROUNDS):
+        staying = edges.groupBy("k1", "level").agg(F.count("*").alias("have")).where(F.col("have") >= need).select("k1", "level")
+        stayed = materialize(edges.drop("least").join(staying, ["k1", "level"], "left_semi"), "jaccard-signatures")
+        least = stayed.groupBy("signature").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("signature", "least")
+        edges = materialize(stayed.join(least, "signature").select("signature", "k1", "level", "least"), "jaccard-signatures")
+    return connected_components(edges.select(F.col("k1").alias("a"), F.col("least").alias("b")), "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
+
+
+MEMBERS = pa.schema([("family", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
 
 
 def _members(k: int):
-    """A row for each block pair that a class takes part in."""
-    schema = pa.schema([("family", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("side", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
+    """A row for each block pair that a class takes part in; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.drop_columns(["text"]).to_pylist()
-            for r, s in zip(rows, _sets(batch, k), strict=True):
-                if set_key(s) != (r["k1"], r["k2"]):  # another text under the same id
-                    continue
-                packed, own = s.tobytes(), r["block"]
-                pairs = [(min(own, x), max(own, x)) for x in range(r["blocks"])]
-                yield pa.RecordBatch.from_pylist([{"family": r["family"], "low": a, "high": b, "side": int(own == b and a != b), "k1": r["k1"], "k2": r["k2"], "copies": r["copies"], "grams": packed} for a, b in pairs], schema=schema)
+        sent: set[tuple[int, int]] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows: list[tuple] = []
+                for family, k1, k2, copies, own, blocks, s in zip(*(batch.column(c).to_pylist() for c in ("family", "k1", "k2", "copies", "block", "blocks")), _sets(batch, k), strict=True):
+                    if set_key(s) != (k1, k2) or (k1, k2) in sent:  # another text with the same id and hash, or a copy
+                        continue
+                    sent.add((k1, k2))
+                    packed = s.tobytes()
+                    rows += [(family, min(own, x), max(own, x), int(own > x), k1, k2, copies, packed) for x in range(blocks)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), MEMBERS, strict=True)], schema=MEMBERS)
+            if len(sent) > REMEMBERED:
+                sent.clear()
 
     return run, "family long, low int, high int, side int, k1 long, k2 long, copies long, grams binary"
 
@@ -273,18 +292,22 @@ def _verify(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, found = None, [], []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "low", "high", "side", "k1", "k2", "copies", "grams")]
-            for family, low, high, *row in zip(*cols, strict=True):
-                if (family, low, high) != now:
-                    found += block(rows, now[1] != now[2]) if len(rows) > 1 else []
-                    now, rows = (family, low, high), []
-                rows.append(tuple(row))
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip("a b links".split(), f, strict=True)) for f in found], schema=schema)
-                found = []
+        def links() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], x.type) for i, x in enumerate(schema)], schema=schema)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                for family, low, high, *row in zip(*(batch.column(c).to_pylist() for c in MEMBERS.names), strict=True):
+                    if (family, low, high) != now:
+                        found += block(rows, now[1] != now[2]) if len(rows) > 1 else []
+                        now, rows = (family, low, high), []
+                    rows.append(tuple(row))
+                if len(found) > 10_000:
+                    yield links()
+                    found = []
         found += block(rows, now[1] != now[2]) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_pylist([dict(zip("a b links".split(), f, strict=True)) for f in found], schema=schema)
+        yield links()
 
     return run, "a string, b string, links long"
 
@@ -299,22 +322,22 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90, row: Column
     row: a long that tells rows apart. With it come the columns row and stays: whether the row is its component's first by id,
     null last, then class, then row; components of null ids have one too, and a row without shingles always stays.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", (F.lit(0).cast("long") if row is None else row).alias("row"))
-    sketch = None if percent >= FRAGMENTS_FROM else docs.sparkSession.sparkContext.broadcast(sketch_of(ids, k))
-    signed = ids.mapInArrow(*_profile(k, percent, sketch)).repartition("signature").sortWithinPartitions("signature", "k1")
-    profile = materialize(signed.mapInArrow(_stars, "id long, n long, k1 long, k2 long, star long, row long"), "jaccard-profile")
-    sets = profile.where("star IS NULL").select("id", "n", "k1", "k2", "row")
-    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), *([] if row is None else [F.min(F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "row")).alias("first")]))
-    stars = profile.where("star IS NOT NULL").select(F.col("k1").alias("a"), F.col("star").alias("b"))
-    families = connected_components(stars, "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100")
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", (F.lit(0).cast("long") if row is None else row).alias("row"), F.xxhash64("text").alias("hash"))
+    signed = ids.mapInArrow(*_profile(k, percent)).repartition(F.when(F.col("kind") < OTHER, F.col("signature")).otherwise(F.col("k1"))).sortWithinPartitions("signature", "k1")
+    profile = materialize(signed.mapInArrow(_shared, "id long, n long, k1 long, k2 long, row long, hash long, signature long, level byte"), "jaccard-profile")
+    sets = profile.where("signature IS NULL").select("id", "n", "k1", "k2", "row", "hash")
+    classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "hash")).alias("text"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), *([] if row is None else [F.min(F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "row")).alias("first")]))
+    families = families_of(profile.where("signature IS NOT NULL").select("signature", "k1", "level"), percent)
 
     members = materialize(classes.join(families, "k1"), "jaccard-members")
-    cut = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    cut = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("many")).where("many > 1")
     placed = members.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks").cast("long")).cast("int"))
-    placed = placed.select("id", "family", "k1", "k2", "copies", "block", "blocks")
-    if placed.count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)  # beyond that, both sides are shuffled by id
-    rows = ids.select("id", "text").join(placed, "id").mapInArrow(*_members(k))
+    placed = placed.select(F.col("text.id").alias("id"), F.col("text.hash").alias("hash"), "family", "k1", "k2", "copies", "block", "blocks")
+    if members.count() <= BROADCAST_ROWS:
+        placed = F.broadcast(placed)
+    rows = ids.select("id", "hash", "text").join(placed, ["id", "hash"]).mapInArrow(*_members(k))
     rows = rows.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
     links = materialize(rows.mapInArrow(*_verify(percent)), "jaccard-links")
     roots = connected_components(links.select("a", "b"), "jaccard-components")
