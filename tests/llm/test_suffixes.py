@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from weftql.llm.suffixes import equal_windows, remove_repeats
+from weftql.llm.suffixes import anchored, common_strings, equal_windows, remove_repeats, same_pieces
 
 
 def brute(rows, length=50):
@@ -72,3 +72,59 @@ def test_shared_passages(spark, monkeypatch):
         rows.append((1000 - 7 * i if i % 10 else 5, "".join(parts)))
     rows += rows[:5]
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_windows_have_one_anchor_each(monkeypatch):
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([0, 3, 49, 50, 51, 400]))) for _ in range(60)]
+    sizes = np.array([len(t) for t in texts])
+    starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(texts), np.uint8)
+    common = np.random.default_rng(1).random(1 << 22) < 0.3
+    for part in (1 << 17, 64):
+        for table in (None, common):
+            monkeypatch.setattr("weftql.llm.suffixes.PART", part)
+            runs = anchored(data, starts, sizes, 50, table)
+            places = [p for a, n in zip(runs.first.tolist(), runs.windows.tolist(), strict=True) for p in range(a, a + n)]
+            assert places == [a + k for a, n in zip(starts.tolist(), sizes.tolist(), strict=True) for k in range(n - 49)]
+            of = dict(zip(places, np.repeat(runs.anchor, runs.windows).tolist(), strict=True))
+            by_bytes = {}
+            assert all(by_bytes.setdefault(data[p : p + 50].tobytes(), h) == h for p, h in of.items())
+
+
+def test_same_pieces_of_equal_hashes():
+    data = np.frombuffer(b"x" * 60 + b"y" * 60 + b"x" * 60 + b"y" * 61, np.uint8)
+    first, windows = np.array([0, 60, 120, 180]), np.array([11, 11, 11, 12])
+    number, leads = same_pieces(data, np.zeros(4, np.uint64), first, windows, 50)
+    assert number[0] == number[2] != number[1] and len(set(number.tolist())) == 3 and sorted(leads.tolist()) == [0, 1, 3]
+
+
+def test_a_string_in_thousands_of_surroundings(spark, monkeypatch):
+    """One of 30 bytes in all documents: right rows, and no bucket gets its pieces."""
+    monkeypatch.setattr("weftql.llm.suffixes.BUCKET_BYTES", 40_000)
+    monkeypatch.setattr("weftql.llm.suffixes.SAMPLE_PART", 2)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, word(rng.randrange(40, 90)) + "a line of thirty bytes exactly" + word(rng.randrange(40, 90))) for i in range(3000)]
+    rows += [(5000 + i, rows[i * 7][1][10:] + word(20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    size = sum(len(t) for _, t in rows)
+    common = common_strings(df, size, 50).value
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    sizes = np.array([len(t) for _, t in rows])
+    for table, most in ((None, 3000), (common, 120)):
+        runs = anchored(data, np.cumsum(sizes) - sizes, sizes, 50, table)
+        _, counts = np.unique(np.unique(np.stack([runs.anchor, runs.content]), axis=1)[0], return_counts=True)
+        assert counts.max() >= 250 if table is None else counts.max() <= most
+
+
+def test_whole_documents_in_one_transform():
+    """The transform itself takes whole documents too: pieces only bound its rounds."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(0, 400))).encode() for _ in range(30)]
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    place, group = equal_windows(data, np.cumsum(sizes) - sizes, sizes, 20)
+    names = {}
+    assert all(names.setdefault(g, data[p : p + 20].tobytes()) == data[p : p + 20].tobytes() for p, g in zip(place.tolist(), group.tolist(), strict=True))
+    assert len(names) == len(set(names.values()))
