@@ -55,19 +55,33 @@ def bucket_bits(rows: int, per_bucket: int = 1000) -> int:
     return max(0, min(36, math.ceil(math.log2(max(1, rows) / per_bucket)) if rows > per_bucket else 0))
 
 
-def prefix_sums(df: DataFrame, group: str, hashed: str, value: str, out: str, rows: int, order: list[str]) -> DataFrame:
-    """Add out: the sum of value over the rows of the same group that come before, in the order of (hashed, *order).
+#: Copies of a row that are made at once.
+COPIES = 1024
+
+
+def prefix_sums(df: DataFrame, group: str, hashed: str, sums: dict[str, str], order: list[str], *, wide: bool = False) -> DataFrame:
+    """Add columns {out: value}: the sum of value over the rows of the same group that come before, by (hashed, *order).
 
     No group is ever ordered in one task. Rows are cut into buckets by the leading bits of the 60-bit hash; the sums of
     buckets, and of runs of 1,024 buckets, are ordered instead, and only the rows of one bucket are ordered among
-    themselves. group must not be null. Rows equal in all of order get sums in some order.
+    themselves. Equal rows are counted before that, one row for all of them, and made rows again afterwards, so however many
+    there are, they are one row to sort. Rows that are equal in hashed only do meet: hash what tells rows apart. group must
+    not be null. wide: the rows carry texts; they are left as they are and equal ones not counted.
     """
-    bits = bucket_bits(rows)
-    fine = df.withColumn("__b", F.shiftright(F.col(hashed), 60 - bits).cast("long"))
-    sums = fine.groupBy(group, "__b").agg(F.sum(value).alias("__s")).withColumn("__c", F.shiftright("__b", 10))
-    before = lambda w: F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    coarse = sums.groupBy(group, "__c").agg(F.sum("__s").alias("__s")).select(group, "__c", before(Window.partitionBy(group).orderBy("__c")).alias("__o"))
-    offsets = sums.withColumn("__w", before(Window.partitionBy(group, "__c").orderBy("__b"))).join(coarse, [group, "__c"]).select(group, "__b", (F.col("__w") + F.col("__o")).alias("__o"))
+    rows = df.withColumn("__n", F.lit(1).cast("long")) if wide else materialize(df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__n")), "sums")
+    bits, outs = bucket_bits(rows.count()), list(sums)
+    value = {out: F.col(v) * F.col("__n") for out, v in sums.items()}
+    fine = rows.withColumn("__b", F.shiftright(F.col(hashed), 60 - bits).cast("long"))
+    totals = fine.groupBy(group, "__b").agg(*[F.sum(value[o]).alias(f"__s_{o}") for o in outs]).withColumn("__c", F.shiftright("__b", 10))
+    before = lambda o, w: F.coalesce(F.sum(f"__s_{o}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs, within = Window.partitionBy(group).orderBy("__c"), Window.partitionBy(group, "__c").orderBy("__b")
+    coarse = totals.groupBy(group, "__c").agg(*[F.sum(f"__s_{o}").alias(f"__s_{o}") for o in outs]).select(group, "__c", *[before(o, runs).alias(f"__r_{o}") for o in outs])
+    offsets = totals.select("*", *[before(o, within).alias(f"__w_{o}") for o in outs]).join(coarse, [group, "__c"]).select(group, "__b", *[(F.col(f"__w_{o}") + F.col(f"__r_{o}")).alias(f"__o_{o}") for o in outs])
     inside = Window.partitionBy(group, "__b").orderBy(hashed, *order).rowsBetween(Window.unboundedPreceding, -1)
-    out_col = (F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__o")).cast("long").alias(out)
-    return fine.join(offsets, [group, "__b"]).select(*[F.col(f"`{c}`") for c in df.columns], out_col)
+    placed = fine.join(offsets, [group, "__b"]).withColumns({f"__p_{o}": (F.coalesce(F.sum(value[o]).over(inside), F.lit(0)) + F.col(f"__o_{o}")).cast("long") for o in outs})
+    copy = F.lit(0).cast("long")
+    if not wide:
+        placed = placed.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))))
+        placed = placed.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1).cast("long"), F.col("__n") - 1 - F.col("__k") * COPIES))))
+        copy = F.col("__k") * COPIES + F.col("__i")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"__p_{o}") + copy * F.col(sums[o])).cast("long").alias(o) for o in outs])

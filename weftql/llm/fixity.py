@@ -26,18 +26,17 @@ TARGET_HEADER = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "
 def warc_records(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """file, slot, offset, record (bytes), page_id for pages(page_id, url, html): a WARC archive's records.
 
-    Pages are dealt to files by a hash of their id and ordered in them by it. slot: 0, 1, ... in the file; offset: where the
+    Pages are dealt to files by a hash of id, url and content and ordered in them by it. slot: 0, 1, ... in the file; offset: where the
     record begins. Null url and html are empty; a null id is a value like others; repeated pages are records of their own.
     """
     body, head = F.coalesce(F.col("html").cast("binary"), F.lit(b"")), F.coalesce("url", F.lit(""))
     record = F.concat(F.concat(F.lit(TARGET_HEADER), head, F.lit("\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary"), body, F.lit(b"\r\n\r\n"))
-    rows = pages.select("page_id", record.alias("record"), key_hash("page_id", "url", seed="warc").alias("h")).withColumn("size", F.length("record").cast("long")).withColumn("one", F.lit(1))
+    rows = pages.select("page_id", record.alias("record"), "url").withColumn("size", F.length("record").cast("long")).withColumn("one", F.lit(1))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).collect()[0]
     files = max(1, -(-total["b"] // file_bytes))
-    rows = rows.withColumn("file", F.pmod(F.col("h"), F.lit(files)).cast("int")).withColumn("digest", F.sha2("record", 256))
-    order = ["page_id", "size", "digest"]
-    slots = prefix_sums(rows, "file", "h", "one", "slot", total["n"], order)
-    return prefix_sums(slots, "file", "h", "size", "offset", total["n"], order).select("file", "slot", "offset", "record", "page_id")
+    rows = rows.withColumn("digest", F.sha2("record", 256)).withColumn("h", key_hash("page_id", "url", "digest", seed="warc")).drop("url")
+    rows = rows.withColumn("file", F.pmod(F.col("h"), F.lit(files)).cast("int"))
+    return prefix_sums(rows, "file", "h", {"slot": "one", "offset": "size"}, ["page_id", "size", "digest"], wide=True).select("file", "slot", "offset", "record", "page_id")
 
 
 def digests(records: DataFrame) -> DataFrame:

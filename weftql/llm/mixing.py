@@ -107,10 +107,10 @@ def mix_sources(
     if max_epochs not in (1, 2):
         raise ValueError("max_epochs is 1 or 2")
     schedules = schedules or SCHEDULES
-    sized = docs.select("doc_id", "source", (words_count(F.col("text")) if size is None else size.cast("long")).alias("size"), key_hash("doc_id", seed=seed).alias("h"), *keep)
+    sized = docs.select("doc_id", "source", (words_count(F.col("text")) if size is None else size.cast("long")).alias("size"), key_hash("doc_id", *keep, seed=seed).alias("h"), *keep)
     sized = materialize(sized.withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "mix-sizes")
     targets = source_targets(sized, schedules, share, max_epochs).withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source")
-    placed = prefix_sums(sized, "grp", "h", "size", "start", sized.count(), ["doc_id", "size", *keep]).join(targets, "grp")
+    placed = prefix_sums(sized, "grp", "h", {"start": "size"}, ["doc_id", "size", *keep]).join(targets, "grp")
     goal = F.round("target").cast("long")
     if whole:
         middle = F.col("start") + F.col("size") / 2

@@ -33,17 +33,16 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, shards: int = 16, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), seed: str = "shard") -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, and the columns in keep.
 
-    size: UTF-8 bytes of the text (null: none) plus 1. law is `key`. slot: 0, 1, ... within the shard, in a hash order of the
-    ids; rows of equal id are told apart by their checksum and size, and equal rows get neighbouring slots. grown_shard: with
+    size: UTF-8 bytes of the text (null: none) plus 1. law is `key`. slot: 0, 1, ... within the shard, in a hash order of
+    id, checksum, size and what is kept; equal rows get neighbouring slots. grown_shard: with
     one shard more. A null id is a key of its own; null text has the checksum of no bytes; an empty table gives no rows.
     """
 
     octets = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    sized = docs.select(
-        F.col(key), *keep, (F.length(octets) + 1).cast("long").alias("size"), F.crc32(octets).alias("text_crc32"), key_hash(F.col(key), seed=seed).alias("__h")
-    ).withColumn("__at", _placing(shards)("__h"))
-    sized = sized.select(F.col(key), *keep, "size", "text_crc32", "__h", F.col("__at.shard").alias("shard"), F.col("__at.grown_shard").alias("grown_shard"), F.lit(1).alias("__one"))
-    numbered = prefix_sums(sized, "shard", "__h", "__one", "slot", docs.count(), [key, "text_crc32", "size"])
+    sized = docs.select(F.col(key), *keep, (F.length(octets) + 1).cast("long").alias("size"), F.crc32(octets).alias("text_crc32")).withColumn("__at", _placing(shards)(key_hash(F.col(key), seed=seed)))
+    order = key_hash(F.col(key), "text_crc32", "size", *([F.xxhash64(*keep)] if keep else []), seed=seed)
+    sized = sized.select(F.col(key), *keep, "size", "text_crc32", order.alias("__h"), F.col("__at.shard").alias("shard"), F.col("__at.grown_shard").alias("grown_shard"), F.lit(1).alias("__one"))
+    numbered = prefix_sums(sized, "shard", "__h", {"slot": "__one"}, [key, "text_crc32", "size"], wide=bool(keep))
     return numbered.select(F.col(key), *keep, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
