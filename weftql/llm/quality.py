@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs are chosen under a risk bound.
 
 Every rule rejects documents whose metric is above a cutoff. Candidate cutoffs are a fixed grid. A stratum (language)
-may use a cutoff only if its labelled good documents prove that it rejects at most alpha of the good documents there:
-with k of n good documents rejected, the exact binomial tail P[Bin(n, alpha) <= k] must be at most delta divided by the
-number of tests made (strata x cutoffs; Bonferroni). Of the cutoffs proved, the lowest is used; without one the rule
-rejects nothing in that stratum. With probability 1 - delta no rule loses more than alpha of any stratum's good documents.
+may use a cutoff only if its labelled good documents prove that it rejects few of the good documents there. alpha, the share
+that all rules together may reject, is divided among them. With k of n good documents rejected, the exact binomial tail
+P[Bin(n, alpha / rules) <= k] must be at most delta divided by strata x rules (Bonferroni). A rule's cutoffs are nested and
+tested from the highest down until one fails, a fixed sequence, which needs no further correction; the last one proved is
+used, without one the rule rejects nothing in that stratum. With probability 1 - delta the rules together reject no more than
+alpha of any stratum's good documents. At the defaults and with four strata that takes 597 labelled good documents of a
+stratum at least; a stratum with fewer has the base rule only.
 
 Only DataFrame operations run here; Python gets no row.
 """
@@ -16,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftql.llm.common import SPACE_CHARS, WORD, materialize
+from weftql.llm.common import WORD, materialize
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -36,37 +39,51 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows that occur twice or more. Window hashes are sorted; neighbours that agree mark their positions."""
+def window_hashes(words: Column) -> Column:
+    """Hashes of all windows of WINDOW (a power of two) words of an array of more: hashes of words, of pairs, of pairs of pairs ..."""
+
+    def paired(h: Column, apart: int) -> Column:
+        return F.zip_with(h, F.slice(h, apart + 1, F.size(h) - apart), lambda a, b: F.xxhash64(a, b))
+
+    def doubled(h: Column, apart: int) -> Column:
+        # zip_with fills the shorter array with nulls, so the last entries stand for no window
+        return bound(paired(h, apart), lambda x: doubled(x, 2 * apart)) if 2 * apart < WINDOW else F.slice(paired(h, apart), 1, F.size(h) - (WINDOW - 1))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside windows that occur twice or more, windows being told apart by 64-bit hashes. Only where two are equal are
+    hashes sorted; neighbours that agree mark their positions."""
 
     def covered(p: Column) -> Column:
-        gaps = F.aggregate(F.sequence(F.lit(2), F.size(p)), F.lit(0), lambda s, k: s + F.least(F.lit(window), F.element_at(p, k) - F.element_at(p, k - 1)))
-        return F.when(F.size(p) == 0, 0).when(F.size(p) == 1, window).otherwise(gaps + window)
+        gaps = F.aggregate(F.sequence(F.lit(2), F.size(p)), F.lit(0), lambda s, k: s + F.least(F.lit(WINDOW), F.element_at(p, k) - F.element_at(p, k - 1)))
+        return gaps + WINDOW
 
     def marked(s: Column) -> Column:
         same = lambda a, b: F.element_at(s, a)["h"] == F.element_at(s, b)["h"]
         alike = F.filter(s, lambda x, k: F.when(k > 0, same(k + 1, k)).otherwise(False) | F.when(k + 2 <= F.size(s), same(k + 1, F.least(k + 2, F.size(s)))).otherwise(False))
-        return F.array_sort(F.transform(alike, lambda x: x["i"]))
+        return F.sort_array(F.transform(alike, lambda x: x["i"]))
 
-    windows = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, window)).alias("h"), i.alias("i"))))
-    return bound(words, lambda w: F.when(F.size(w) < window + 1, 0).otherwise(bound(bound(windows(w), marked), covered))).cast("long")
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(bound(bound(placed(h), marked), covered))
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(bound(window_hashes(words), count)).cast("long")
 
 
 def count_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """keep and COUNTS for every row of docs(text, ...). Null text counts as empty. Line: a part between newlines that has a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    less = lambda c, chars: (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+    counted = lambda chars: F.regexp_count(F.col("__marks"), F.lit(f"[{chars}]")).cast("long")
     words, lines = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    return docs.select(
+    found = docs.select(
         *keep,
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        less(text, SYMBOLS).alias("n_symbols"),
+        F.regexp_replace(text, f"[^A-Z!{SYMBOLS}]+", "").alias("__marks"),
         bound(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("all"))).alias("__l"),
-        repeat_words(words).alias("n_repeat_words"),
-        less(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        less(text, "!").alias("n_bangs"),
-    ).select(*keep, "n_words", "word_chars", "n_symbols", F.col("__l.dup").alias("n_dup_lines"), "n_repeat_words", F.col("__l.all").alias("n_lines"), "n_upper", "n_bangs")
+        bound(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeat"))).alias("__w"),
+    )
+    marks = [counted(SYMBOLS).alias("n_symbols"), counted("A-Z").alias("n_upper"), counted("!").alias("n_bangs")]
+    found = found.select(*keep, "__l", "__w", *marks)
+    return found.select(*keep, F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", F.col("__l.dup").alias("n_dup_lines"), F.col("__w.repeat").alias("n_repeat_words"), F.col("__l.all").alias("n_lines"), "n_upper", "n_bangs")
 
 
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
@@ -84,7 +101,8 @@ def binomial_tail(n: Column, k: Column, alpha: float) -> Column:
 
 
 def proved_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """lang, rule, cutoff: the lowest cutoff of each rule that the labelled good documents of the stratum prove.
+    """lang, rule, cutoff: the lowest cutoff of each rule that the labelled good documents of the stratum prove. Tails grow as
+    cutoffs fall, so the lowest proved is the last one before the first that fails.
 
     Good: some label says quality 1 and none says otherwise. Documents that the base rule rejects prove nothing.
     """
@@ -94,7 +112,7 @@ def proved_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: f
     by_stratum = known.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"CAST({RULES[r][0]} > {c}D AS BIGINT)")).alias(f"t{i}") for i, (r, c) in enumerate(tests)])
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"t{i}").alias("k")) for i, (r, c) in enumerate(tests)])).alias("x")
     each = by_stratum.select("lang", "n", F.count("*").over(_everything()).alias("strata"), rows).select("lang", "n", "strata", "x.*")
-    proved = each.where(binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / (F.col("strata") * len(tests)))
+    proved = each.where(binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / (F.col("strata") * len(RULES)))
     return proved.groupBy("lang", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
@@ -104,7 +122,7 @@ def _everything():
     return Window.partitionBy()
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.01, delta: float = 0.05, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): keep, COUNTS, base_failed, kept.
 
     A null language is a stratum of its own; so is one without labels, where only the base rule rejects. A null doc_id has no
@@ -121,7 +139,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.01, de
     return judged.select(*keep, *COUNTS, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
 
-def quality_oracle(documents: str = "documents", labels: str = "labels", alpha: float = 0.01, delta: float = 0.05) -> str:
+def quality_oracle(documents: str = "documents", labels: str = "labels", alpha: float = 0.05, delta: float = 0.05) -> str:
+    alpha /= len(RULES)
     tests = ", ".join(f"('{r}', {c})" for r, (_, grid) in RULES.items() for c in grid)
     metric = "CASE rule " + " ".join(f"WHEN '{r}' THEN {m}" for r, (m, _) in RULES.items()) + " END"
     return f"""
@@ -150,7 +169,7 @@ tested AS (
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tested WHERE k <= n * {alpha}) GROUP BY ALL
 ), proved AS (
   SELECT lang, rule, min(cutoff) AS cutoff FROM tails
-  WHERE tail <= {delta} / ((SELECT count(DISTINCT coalesce('=' || lang, '')) FROM known) * (SELECT count(*) FROM tests)) GROUP BY ALL
+  WHERE tail <= {delta} / ((SELECT count(DISTINCT coalesce('=' || lang, '')) FROM known) * {len(RULES)}) GROUP BY ALL
 ), rejected AS (
   SELECT DISTINCT d.lang, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.n_lines, d.n_upper, d.n_bangs, 1 AS hit
   FROM counted d JOIN proved p ON d.lang IS NOT DISTINCT FROM p.lang WHERE {metric} > p.cutoff
