@@ -3,8 +3,9 @@
 Learning: labelled documents (a bounded sample) give document frequencies of tokens - words and their prefixes of 4 to 9
 bytes - in toxic and in clean texts. A token's weight is its log-odds with an informative Dirichlet prior, less PRUDENCE
 standard errors. Tokens whose toxic share could be chance (binomial tail, corrected for the number of tokens) weigh nothing.
-Documents that share their first words or the least hash of their shingles count once, so copies don't vouch for each other. A word scores the weight of the longest token known of it; a token
-that clean documents have often, without standing out, is known to weigh nothing. Any other word scores a small negative drift, which makes the expected score of clean text negative.
+Documents that share their first words or the least hash of their shingles count once, so copies don't vouch for each other.
+A word scores the weight of the longest token known of it; a token that clean documents have often, without standing out, is
+known to weigh nothing. Any other word scores a small negative drift, which makes the expected score of clean text negative.
 
 Scoring: one linear scan finds all maximal scoring segments (Ruzzo and Tompa 1999). A segment of score s in n words has the
 extreme-value tail 1 - exp(-K n exp(-lambda s)); lambda solves the moment equation of the clean background, K is fitted to
@@ -31,7 +32,10 @@ from weftql.llm.textscan import LOWER_BLANK, octets, shingle_sets
 MAX_LABELLED = 200_000
 PREFIXES = range(4, 10)
 PRIOR_DOCS, RISK, PRUDENCE, DRIFT = 10.0, 0.01, 1.0, -0.15
-MAX_P, BIN, TOP_BIN = 0.05, 0.5, 200
+MAX_P, BIN = 0.05, 0.5
+#: In the fit of the logistic curve, and only there, a strength above this counts as this: the curve has long been flat there,
+#: and single huge strengths would otherwise decide its slope.
+FIT_TOP = 20.0
 #: Lower-cased ASCII letters and all bytes beyond ASCII stay; the rest is blank.
 LETTERS = bytes(b if b >= 128 or chr(b).islower() else 32 for b in range(256))
 
@@ -179,9 +183,9 @@ def _strengths(model):
                 scores = scorer(words_of(text))
                 found = segments(scores)
                 strength = sum(x[2] for x in model.value.significant(found, len(scores)))
-                counts["strength", min(TOP_BIN, round(strength / BIN)), toxic] += 1
+                counts["strength", round(strength / BIN), toxic] += 1
                 if not toxic:
-                    counts["best", min(TOP_BIN, round(max((s for *_, s in found), default=0.0) / BIN)), 0] += 1
+                    counts["best", round(max((s for *_, s in found), default=0.0) / BIN), 0] += 1
                     counts["words", 0, 0] += len(scores)
                     for s in scores[scores > 0].tolist():
                         counts["score", round(s / BIN), 0] += 1
@@ -242,7 +246,7 @@ def background_lambda(scores: dict[int, int], words: int) -> float:
 def fit_logistic(strengths: dict[tuple[int, int], int]) -> tuple[float, float]:
     """Slope and offset by Newton's method with a little shrinkage, over counts of (bin, toxic)."""
     x, y, n = (np.array(v, float) for v in zip(*((b * BIN, t, c) for (b, t), c in strengths.items()), strict=True)) if strengths else (np.zeros(1),) * 3
-    x = np.minimum(x, 20.0)
+    x = np.minimum(x, FIT_TOP)
     at = np.array([0.5, -2.0])
 
     def loss(at: np.ndarray) -> float:
@@ -273,8 +277,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnt_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if (n := usable.count()) > max_labelled:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * 0.98 * max_labelled / n))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")
-    signed = materialize(labelled.select("doc_id", "text", "toxic").mapInArrow(_signatures, "doc_id long, toxic int, least long, first long"), "toxicity-signatures")
+    # the documents are read once; what follows reads the bounded sample's texts
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("doc_id", "text", "toxic"), "toxicity-labelled")
+    signed = materialize(labelled.mapInArrow(_signatures, "doc_id long, toxic int, least long, first long"), "toxicity-signatures")
     alone = signed.groupBy("least").agg(F.min("doc_id").alias("doc_id")).join(signed.groupBy("first").agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()
     rows = labelled.join(F.broadcast(alone), "doc_id").select("text", "toxic")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
