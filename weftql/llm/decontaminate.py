@@ -6,7 +6,8 @@ shortest phrase are left out: this loses no occurrence. Over the rest the shard
 Burrows-Wheeler transform, a wavelet matrix for ranks, and suffix positions sampled at every 32nd place. All phrases are
 searched backwards together; occurrences are located by walking to a sampled row, and their spans merged.
 
-Documents aren't shuffled. The phrases are broadcast in slices of bounded size, one in memory at a time.
+Documents aren't shuffled. The phrases are broadcast in slices of bounded size. A pass over the documents takes a bounded number
+of slices, so that no worker ever holds more; a larger benchmark takes more passes, each written and read by the next.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftql.llm.common import materialize
 from weftql.llm.textscan import LOWER_ALNUM, octets
 
 WINDOW = 10
 #: A shard ends at so many indexed symbols or bytes of text, whichever comes first (one document may hold more).
 SHARD_SYMBOLS, SHARD_BYTES = 1 << 20, 32 << 20
 SAMPLE = 32
-#: Words of benchmark items in a slice of phrases: what is broadcast at once.
-SLICE_WORDS = 2_000_000
+#: Words of benchmark items in a slice of phrases, which is broadcast (some 100 bytes each), and slices of one pass over the documents.
+SLICE_WORDS, PASS_SLICES = 1_000_000, 2
 
 
 class WaveletMatrix:
@@ -142,7 +144,7 @@ class Phrases:
 
 
 def benchmark_items(benchmark: DataFrame) -> Iterator[tuple[str, list[bytes]]]:
-    """Items with words, read a partition at a time; a null id is named `null`. Rows of the same id are one item each."""
+    """Items with words, read a partition at a time; a null id is named `null`, which no long is. Rows of the same id are one item each."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator()
     for name, text in rows:
         if words := text.encode().translate(LOWER_ALNUM).split():
@@ -190,12 +192,24 @@ def shard_hits(words: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray,
     return at, length, np.repeat(doc, n_items[which]) if len(which) else none, item
 
 
-def _scan(slices: list, window: int):
-    schema = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+FOUND = pa.schema([("__n_words", pa.int64()), ("__n_hit", pa.int64()), ("__item_ids", pa.list_(pa.string())), ("__spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+
+
+def _scan(slices: list, last: bool):
+    """What a task's documents have of these slices, together with what they have of those before: columns of FOUND, if there.
+    The last pass leaves the texts behind."""
 
     def shard(held: list[pa.RecordBatch], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([len(w) + 1 for w in words])
         cover, names = np.zeros((ends[-1] if len(ends) else 0) + 1, np.int64), [set() for _ in words]
+        starts = ends - [len(w) + 1 for w in words] if len(ends) else ends
+        if "__spans" in held[0].schema.names:
+            before = [(ids, spans) for batch in held for ids, spans in zip(batch.column("__item_ids").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            for d, (ids, spans) in enumerate(before):
+                names[d].update(ids)
+                for span in spans:
+                    cover[starts[d] + span["begin"]] += 1
+                    cover[starts[d] + span["end"]] -= 1
         for part in slices:
             phrases = part.value
             at, length, doc, item = shard_hits(words, phrases)
@@ -206,16 +220,15 @@ def _scan(slices: list, window: int):
         hit = np.cumsum(cover) > 0
         edges = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
         spans: list[list[dict]] = [[] for _ in words]
-        starts = ends - [len(w) + 1 for w in words] if len(ends) else ends
         for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
             d = int(np.searchsorted(ends, a, side="right"))
             spans[d].append({"begin": a - int(starts[d]), "end": b - int(starts[d])})
         n, at = [len(w) for w in words], 0
         for batch in held:
             now = slice(at, at := at + batch.num_rows)
-            arrays = [pa.array(n[now], pa.int64()), pa.array([sum(s["end"] - s["begin"] for s in x) for x in spans[now]], pa.int64()), pa.array([sorted(x) for x in names[now]], pa.list_(pa.string())), pa.array(spans[now], schema.field("spans").type)]
-            kept = [i for i, f in enumerate(batch.schema.names) if f != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *arrays], schema=pa.schema([*(batch.schema.field(i) for i in kept), *schema]))
+            arrays = [pa.array(n[now], pa.int64()), pa.array([sum(s["end"] - s["begin"] for s in x) for x in spans[now]], pa.int64()), pa.array([sorted(x) for x in names[now]], pa.list_(pa.string())), pa.array(spans[now], FOUND.field("__spans").type)]
+            kept = [i for i, f in enumerate(batch.schema.names) if f not in FOUND.names and not (last and f == "__text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *arrays], schema=pa.schema([*(batch.schema.field(i) for i in kept), *FOUND]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words, size, symbols = [], [], 0, 0
@@ -243,15 +256,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     occurrence, sorted as strings; spans: the hit stretches of words, merged. Null text has no words, an item without words
     no phrase; an empty benchmark hits nothing. Rows are judged one by one, so null and repeated ids make no difference.
     """
-    context, slices, held, size = docs.sparkSession.sparkContext, [], [], 0
+    out = docs.select(*keep, F.col("text").alias("__text"))
+    schema, passes = out.schema, batched_slices(benchmark, window)
+    slices = next(passes)
+    while slices is not None:
+        after = next(passes, None)
+        names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema if f.name != "__text" or after is not None)
+        found = _scan([docs.sparkSession.sparkContext.broadcast(x) for x in slices], after is None)
+        out = out.mapInArrow(found, f"{names}__n_words long, __n_hit long, __item_ids array<string>, __spans array<struct<begin: long, end: long>>")
+        out, slices = out if after is None else materialize(out, "decontaminate"), after
+    return out.select(*keep, *[F.col(f"__{c}").alias(c) for c in ("n_words", "n_hit", "item_ids", "spans")], (F.col("__n_hit") > 0).alias("contaminated"))
+
+
+def batched_slices(benchmark: DataFrame, window: int) -> Iterator[list[Phrases]]:
+    """The benchmark's phrases in slices, as many at a time as one pass takes; once none at all for an empty benchmark."""
+    slices, held, size, some = [], [], 0, False
     for name, words in benchmark_items(benchmark):
         held.append((name, words))
         if (size := size + len(words)) >= SLICE_WORDS:
-            slices.append(context.broadcast(Phrases(held, window)))
+            slices.append(Phrases(held, window))
             held, size = [], 0
+        if len(slices) == PASS_SLICES:
+            yield slices
+            slices, some = [], True
     if held:
-        slices.append(context.broadcast(Phrases(held, window)))
-    out = docs.select(*keep, F.col("text").alias("__text"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "__text")
-    scanned = out.mapInArrow(_scan(slices, window), f"{names}, n_words long, n_hit long, item_ids array<string>, spans array<struct<begin: long, end: long>>")
-    return scanned.withColumn("contaminated", F.col("n_hit") > 0)
+        slices.append(Phrases(held, window))
+    if slices or not some:
+        yield slices
