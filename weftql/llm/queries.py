@@ -106,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op5_fixity_audit": "SELECT page_id, 'changed' AS fault FROM pages WHERE page_id % 97 = 5",
     "op6_quality_rules": quality.quality_oracle(),
     "op7_decontaminate": DECONTAMINATE_SQL,
+    "op9_shards": sharding.sharding_oracle(),
 }

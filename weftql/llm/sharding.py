@@ -53,3 +53,36 @@ def _placing(shards: int):
         return pd.DataFrame({"shard": jump(k, shards), "grown_shard": jump(k, shards + 1)})
 
     return place
+
+
+def crc32_table() -> list[int]:
+    """The checksum's table of 256 entries, by its rule: the reflected polynomial of IEEE 802.3."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+def sharding_oracle(documents: str = "documents", shards: int = 16, seed: str = "shard") -> str:
+    """The same rows in DuckDB's SQL: the checksum byte by byte, the jumps as a recursive query."""
+    hashed = lambda text: f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+    named = f"'{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    return f"""
+WITH RECURSIVE octets AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS o FROM {documents}
+), sized AS (
+  SELECT rid, doc_id, len(o) + 1 AS size, {hashed(named)} AS h,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), o), lambda c, x: xor(c >> 8, list_extract({crc32_table()}, CAST(xor(c & 255, x) AS BIGINT) + 1))), 4294967295) AS text_crc32
+  FROM octets
+), jumped(rid, shards, state, shard, ahead) AS (
+  SELECT rid, n, CAST(h AS HUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM sized, (VALUES ({shards}), ({shards + 1})) AS v(n)
+  UNION ALL
+  SELECT rid, shards, next, ahead, CAST(floor((ahead + 1) * (CAST(2147483648 AS DOUBLE) / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT rid, shards, ahead, (state * {MULTIPLIER} + 1) % 18446744073709551616 AS next FROM jumped WHERE ahead < shards)
+)
+SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, s.text_crc32, 'key' AS law, CAST(a.shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY {hashed(f"{named} || '|' || text_crc32 || '|' || size")}, doc_id, text_crc32, size) - 1 AS slot, CAST(b.shard AS INT) AS grown_shard
+FROM sized s JOIN jumped a ON a.rid = s.rid AND a.shards = {shards} AND a.ahead >= {shards} JOIN jumped b ON b.rid = s.rid AND b.shards = {shards + 1} AND b.ahead >= {shards + 1}
+"""
