@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -22,14 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one temporary folder for the application."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
+    """The folder in spark.checkpoint.dir; on one machine, where that is unset, one temporary folder for the application."""
+    found, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not found and app not in _own_dirs:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="weftql-")
-    return _own_dirs[app]
+    return found.rstrip("/") if found else _own_dirs[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
