@@ -10,6 +10,7 @@ import corpus_pipeline as pipeline
 from tests.llm.test_jaccard import brute as brute_join
 from tests.llm.test_mixing import reshare
 from tests.llm.test_small import brute_hits, features
+from weftql.llm.mixing import mix_sources
 
 ITEMS = [(1, " ".join(f"q{i}" for i in range(14))), (2, "short item")]
 
@@ -71,6 +72,7 @@ def test_stages(spark, folder):
     before, clean = after, spark.createDataFrame(after, docs.schema)
     mixed = stages["mix"](spark, clean, folder)
     after = rows_of(mixed)
+    assert mixed.columns == docs.columns
     copies, sizes, taken = Counter(after), defaultdict(int), defaultdict(int)
     for r in before:
         sizes[r[3]] += len(r[1].split())
@@ -95,8 +97,17 @@ def grouped(rows):
 
 def test_run_and_odd_tables(spark, folder, odd, empty):
     assert pipeline.run(spark, folder).count() > 200
-    for docs in (odd.select(*pipeline.COLUMNS), empty):
-        for _, stage in pipeline.STAGES:
-            docs = stage(spark, docs, folder)
+    for docs in (odd, empty):
+        for name, stage in pipeline.STAGES:
+            columns, docs = docs.columns, stage(spark, docs, folder)
+            assert name == "shard" or docs.columns == columns
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.where(F.col("shard").isNull()).count() == 0
+
+
+def test_mix_stands_in_training_order(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(3 + i % 9)), "en", "ab"[i % 2], i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stood = [r["doc_id"] for r in pipeline.mixing_stage(spark, docs, "").collect()]
+    due = sorted((t, r["doc_id"]) for r in mix_sources(docs.withColumn("__row", pipeline.row_key()), whole=True, keep=("__row",)).collect() for t in (r["position"], r["again"]) if t is not None)
+    assert stood == [doc for _, doc in due]
