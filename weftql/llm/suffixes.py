@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftql.llm.common import materialize
 from weftql.llm.textscan import mixed, octets, prefix_hash
 
 #: Bytes of an anchor string, so that a window of 50 holds 26 of them.
@@ -39,7 +40,7 @@ PART = 1 << 17
 LAST_ID = (1 << 63) - 1
 #: Documents of so many bytes at most, and of one part of the whole, tell which strings are common. Any list gives the same
 #: result; it only keeps buckets even.
-SAMPLE_BYTES, SAMPLE_PART, SAMPLE_ROUNDS = 256 << 20, 16, 4
+SAMPLE_BYTES, SAMPLE_PART, SAMPLE_ROUNDS, SAMPLE_TASK = 256 << 20, 32, 4, 16 << 20
 #: Leading bits of a hash by which common strings are known.
 COMMON_BITS = 22
 CODEC = pa.Codec("zstd", compression_level=1)
@@ -80,7 +81,7 @@ def anchored(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
         part = data[base : base + PART + length - 1]
         p, inv = prefix_hash(part)
         h = mixed((p[ANCHOR:] - p[:-ANCHOR]) * inv[: len(part) - ANCHOR + 1])
-        best = h >> np.uint64(33)
+        best = h & np.uint64(0x7FFFFFFF)  # not the leading bits: these deal anchors to buckets
         if common is not None:
             best |= common[(h >> np.uint64(64 - COMMON_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(31)
         best = best << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
@@ -184,19 +185,26 @@ def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 def _surroundings(length: int, common):
-    """(anchor, content) of every run of a task's texts."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64())])
+    """(anchor, different pieces around it) of the anchors that have several, in a task's texts."""
+    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty((0, 2), np.uint64)]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 texts = octets(whole.slice(at, 512).column("text"))
                 sizes = np.array([len(t) for t in texts], np.int64)
                 runs = anchored(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, length, common and common.value)
                 _, once = np.unique(runs.anchor + mixed(runs.content), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x[once].view(np.int64)) for x in (runs.anchor, runs.content)], schema=schema)
+                held.append(np.stack([runs.anchor[once], runs.content[once]], axis=1))
+        anchor, content = np.concatenate(held).T
+        order = np.lexsort((content, anchor))
+        anchor, content = anchor[order], content[order]
+        other = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])])[: len(anchor)]
+        anchor, n = np.unique(anchor[other], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[n > 1].view(np.int64)), pa.array(n[n > 1])], schema=schema)
 
-    return run, "anchor long, content long"
+    return run, "anchor long, n long"
 
 
 def common_strings(rows: DataFrame, size: int, length: int):
@@ -205,9 +213,10 @@ def common_strings(rows: DataFrame, size: int, length: int):
     part = max(SAMPLE_PART, -(-size // SAMPLE_BYTES))
     many = max(8, BUCKET_BYTES // (8 * (2 * length - ANCHOR)) // part)
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(part)) == 0).select("text")
+    sample = materialize(sample.repartition(max(1, size // part // SAMPLE_TASK), F.xxhash64("text")), "suffixes-sample")
     table, common = np.zeros(1 << COMMON_BITS, bool), None
     for _ in range(SAMPLE_ROUNDS):
-        found = sample.mapInArrow(*_surroundings(length, common)).distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= many)
+        found = sample.mapInArrow(*_surroundings(length, common)).groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= many)
         hashes = np.array([r["anchor"] for r in found.select("anchor").collect()], np.int64).view(np.uint64)
         places = (hashes >> np.uint64(64 - COMMON_BITS)).astype(np.int64)
         if table[places].all():
