@@ -31,6 +31,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.05, 0.1, 0.15, 0.2, 0.25]),
     "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.1, 0.2, 0.3, 0.5]),
 }
+BROADCAST_STRATA = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
 
 
@@ -122,15 +123,20 @@ def _everything():
     return Window.partitionBy()
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.05, delta: float = 0.05, keep: tuple[str, ...] = ("doc_id", "lang"), recount: bool = False) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): keep, COUNTS, base_failed, kept.
 
+    recount: counts are made once for the cutoffs and again for the verdicts, rather than written in between; for rows that carry
+    their texts, which then are neither written nor exchanged.
+
     A null language is a stratum of its own; so is one without labels, where only the base rule rejects. A null doc_id has no
     label. Repeated rows each get a verdict. An empty table gives no rows. Other columns of docs are not looked at.
     """
-    counted = materialize(count_features(docs, keep), "quality-counts")
-    cutoffs = proved_cutoffs(counted, labels, alpha, delta).groupBy("lang").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    cutoffs = cutoffs.select(F.col("lang").alias("__lang"), *[F.col(r).alias(f"__{r}") for r in RULES])
+    counted = count_features(docs, keep) if recount else materialize(count_features(docs, keep), "quality-counts")
+    cutoffs = proved_cutoffs(count_features(docs) if recount else counted, labels, alpha, delta).groupBy("lang").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    cutoffs = materialize(cutoffs.select(F.col("lang").alias("__lang"), *[F.col(r).alias(f"__{r}") for r in RULES]), "quality-cutoffs")
+    if cutoffs.count() <= BROADCAST_STRATA:  # a row each; beyond that both sides are shuffled
+        cutoffs = F.broadcast(cutoffs)
     over = [F.coalesce(F.expr(metric) > F.col(f"__{rule}"), F.lit(False)) for rule, (metric, _) in RULES.items()]
     failed, rejected = F.expr(BASE_FAILED), over[0]
     for x in over[1:]:
