@@ -41,7 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     others = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
     renamed = docs.withColumnsRenamed(others)
-    judged = quality.judge_quality(renamed, table(spark, sf_dir, "labels"), keep=tuple(renamed.columns))
+    judged = quality.judge_quality(renamed, table(spark, sf_dir, "labels"), keep=tuple(renamed.columns), recount=True)
     return judged.where("kept").select(*renamed.columns).withColumnsRenamed({v: k for k, v in others.items()})
 
 
