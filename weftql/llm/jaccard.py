@@ -6,8 +6,9 @@
    `differing(n)` n-grams, so they agree on all other fragments. Empty fragments count for nothing; of the others a set sends
    its largest, as many as can differ and `spare(level)` more: linked sets share `spare` signatures at least (`signatures`
    has the proof, and what sets with too few fragments do). A class of which fewer are shared with others has no links; such
-   classes leave, in rounds, as with every one more signatures stand alone. What remains forms families, the components of
-   classes that share a signature. No pair is listed.
+   classes leave, in rounds, as with every one more signatures stand alone. Of what remains each drops its `spare` - 1 most
+   frequent signatures; two linked ones still share one. Families are the components of classes that share what is left.
+   No pair is listed.
 3. Families are cut into blocks of bounded size. Where two blocks of a family meet, the order is cut into fragments again;
    overlaps are counted separately for each fragment, summed for each pair of classes, and compared with the exact bound.
 4. The links are exact; their components and numbers are the result. No pair of classes leaves its block's task.
@@ -23,7 +24,8 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftql.llm.common import materialize
@@ -118,7 +120,8 @@ SIGNED = pa.schema([("kind", pa.int8()), ("signature", pa.int64()), ("k1", pa.in
 
 def _profile(k: int, percent: int):
     """Rows for the exchange. A task sends a signature once, so no signature, however common, meets in one task with all its
-    classes; the classes are dealt by themselves. A text's payload is (id, n, k2, row, text hash)."""
+    classes; what is said of the other classes is dealt by itself. Texts are dealt by batches, so copies don't meet either. A text's
+    payload is (id, n, k2, row, text hash)."""
 
     def rows_of(kind, signature, k1, level, payload=None) -> pa.RecordBatch:
         payload = pa.nulls(len(signature), pa.binary()) if payload is None else payload
@@ -129,15 +132,17 @@ def _profile(k: int, percent: int):
         order = np.lexsort((key, sign))
         sign, key, level = sign[order], key[order], level[order]
         first = np.concatenate([[True], sign[1:] != sign[:-1]])
-        shared = np.append(~first[1:], False)
-        return rows_of(np.where(first, np.where(shared, LEAST, ONE), OTHER).astype(np.int8), sign, key, level)
+        kind = np.where(first, np.where(np.append(~first[1:], False), LEAST, ONE), OTHER).astype(np.int8)
+        order = np.argsort(key, kind="stable")  # rows of a class one after another take less room in the exchange
+        return rows_of(kind[order], sign[order], key[order], level[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size = [], 0
+        place = TaskContext.get().partitionId() << 32
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+                batch, place = whole.slice(at, 2048), place + 1
                 k1s, payloads = [], []
                 for i, row, h, s in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "hash")), _sets(batch, k), strict=True):
                     key = set_key(s)
@@ -148,7 +153,7 @@ def _profile(k: int, percent: int):
                         sign, level = signatures(s, percent)
                         held.append((sign.view(np.int64), np.full(len(sign), key[0], np.int64), level))
                         size += len(sign)
-                yield rows_of(np.full(len(k1s), TEXT, np.int8), k1s, k1s, np.zeros(len(k1s), np.int8), pa.array(payloads, pa.binary()))
+                yield rows_of(np.full(len(k1s), TEXT, np.int8), np.full(len(k1s), place), k1s, np.zeros(len(k1s), np.int8), pa.array(payloads, pa.binary()))
                 if len(seen) > REMEMBERED:  # copies that come later are only repeated
                     seen.clear()
                 if size >= HELD:
@@ -156,6 +161,8 @@ def _profile(k: int, percent: int):
                     held, size = [], 0
         if size:
             yield passed(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return run, "kind byte, signature long, k1 long, level byte, payload binary"
 
@@ -174,8 +181,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, sign, key, level = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "signature", "k1", "level"))
         text = kind == TEXT
         values = np.frombuffer(b"".join(batch.column("payload").filter(pa.array(text)).to_pylist()), np.int64).reshape(-1, 5)
-        found = [(sign[kind == OTHER], key[kind == OTHER], level[kind == OTHER])]
-        own = kind < OTHER
+        again = np.concatenate([[False], (sign[1:] == sign[:-1]) & (key[1:] == key[:-1])])[: len(sign)]  # of a copy in another task
+        other, own = (kind == OTHER) & ~again, (kind < OTHER) & (~again | (kind == LEAST))
+        found = [(sign[other], key[other], level[other])]
         s, c, lv, known = sign[own], key[own], level[own], kind[own] == LEAST
         if carried:
             s, c, lv, known = np.append(carried[0], s), np.append(carried[1], c), np.append(carried[2], lv), np.append(carried[3], known)
@@ -197,14 +205,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def families_of(shared: DataFrame, percent: int) -> DataFrame:
-    """k1, family of the classes of shared(signature, k1, level) that may have links."""
+    """k1, family of the classes of shared(signature, k1, level) that may have links.
+
+    Linked classes share `need` signatures at a level. Once too few shared ones have made classes leave, each class drops its
+    need - 1 most frequent signatures. The rarest that two linked ones share stays with both: either has need - 1 more frequent
+    ones that they share. So a passage in common, whose signatures many have, doesn't tie groups of near copies together.
+    A row that is there twice, as rows of copies in several tasks may be, counts twice, which only keeps more.
+    """
     need = F.element_at(F.array(*[F.lit(1 if level >= PLAIN else spare(level, percent)) for level in range(2 * PLAIN)]), F.col("level") + 1)
-    edges = materialize(shared.distinct(), "jaccard-signatures")
+    edges, alike = shared, [F.min("k1").alias("least"), F.max("k1").alias("most"), F.count("*").alias("many")]
     for _ in range(LEAVING_ROUNDS):
         staying = edges.groupBy("k1", "level").agg(F.count("*").alias("have")).where(F.col("have") >= need).select("k1", "level")
-        stayed = materialize(edges.drop("least").join(staying, ["k1", "level"], "left_semi"), "jaccard-signatures")
-        least = stayed.groupBy("signature").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least < most").select("signature", "least")
-        edges = materialize(stayed.join(least, "signature").select("signature", "k1", "level", "least"), "jaccard-signatures")
+        stayed = materialize(edges.select("signature", "k1", "level").join(staying, ["k1", "level"], "left_semi"), "jaccard-signatures")
+        edges = materialize(stayed.join(stayed.groupBy("signature").agg(*alike).where("least < most"), "signature").select("signature", "k1", "level", "many"), "jaccard-signatures")
+    # the most frequent need - 1 of each go; "many" orders signatures alike for all classes
+    frequent_first = Window.partitionBy("k1", "level").orderBy(F.desc("many"), "signature")
+    rare = materialize(edges.withColumn("place", F.row_number().over(frequent_first)).where(F.col("place") >= need).select("signature", "k1"), "jaccard-signatures")
+    edges = rare.join(rare.groupBy("signature").agg(*alike).where("least < most"), "signature")
     return connected_components(edges.select(F.col("k1").alias("a"), F.col("least").alias("b")), "jaccard-families").withColumnsRenamed({"node": "k1", "root": "family"})
 
 
@@ -325,7 +342,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 3, percent: int = 90, row: Column
     if not 50 <= percent <= 100:
         raise ValueError("percent is 50 to 100")
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", (F.lit(0).cast("long") if row is None else row).alias("row"), F.xxhash64("text").alias("hash"))
-    signed = ids.mapInArrow(*_profile(k, percent)).repartition(F.when(F.col("kind") < OTHER, F.col("signature")).otherwise(F.col("k1"))).sortWithinPartitions("signature", "k1")
+    signed = ids.mapInArrow(*_profile(k, percent)).repartition(F.when(F.col("kind") == OTHER, F.xxhash64("signature", "k1")).otherwise(F.col("signature"))).sortWithinPartitions("signature", "k1")
     profile = materialize(signed.mapInArrow(_shared, "id long, n long, k1 long, k2 long, row long, hash long, signature long, level byte"), "jaccard-profile")
     sets = profile.where("signature IS NULL").select("id", "n", "k1", "k2", "row", "hash")
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "hash")).alias("text"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), *([] if row is None else [F.min(F.struct((F.col("id") == NO_ID).alias("no_id"), "id", "row")).alias("first")]))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; bounds the working memory of a task (about 60 bytes for each).
-CHUNK = 2 << 20
+CHUNK = 256 << 10
 #: Any odd base; hashes are polynomials in it modulo 2^64, then mixed.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -25,13 +25,13 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK)
+        size = max(n, CHUNK + 4096)
         made = []
         for base in (BASE, INVERSE):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        if size > CHUNK:  # a long text: not kept
+        if size > CHUNK + 4096:  # a long text: not kept
             return made[0], made[1]
         _powers[:] = made
     return _powers[0][:n], _powers[1][:n]
