@@ -43,7 +43,7 @@ LAST_ID = (1 << 63) - 1
 SAMPLE_BYTES, SAMPLE_PART, SAMPLE_ROUNDS, SAMPLE_TASK = 256 << 20, 32, 4, 16 << 20
 #: Leading bits of a hash by which common strings are known.
 COMMON_BITS = 22
-CODEC = pa.Codec("zstd", compression_level=1)
+CODEC = pa.Codec("zstd", compression_level=6)
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
